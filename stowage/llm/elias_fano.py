@@ -94,19 +94,21 @@ class EliasFano:
         at = np.zeros(len(x), np.int64)
         on = high > 0
         at[on] = self._zero(high[on] - 1) - (high[on] - 1)
-        hit = np.zeros(len(x), bool)
-        todo = np.flatnonzero(at < end)
-        while len(todo):
-            value = self._low(at[todo])
-            hit[todo[value == low[todo]]] = True
-            todo = todo[value < low[todo]]
-            at[todo] += 1
-            todo = todo[at[todo] < end[todo]]
+        last = end.copy()
+        todo = np.flatnonzero(at < last)
+        while len(todo):  # halve each range of equal high parts
+            mid = (at[todo] + last[todo]) >> 1
+            below = self._low(mid) < low[todo]
+            at[todo[below]] = mid[below] + 1
+            last[todo[~below]] = mid[~below]
+            todo = todo[at[todo] < last[todo]]
+        hit = at < end
+        hit[hit] = self._low(at[hit]) == low[hit]
         return at, hit
 
 
-#: Codes of probabilities: -log10(p) in steps of 1/4096, rounded up, so that coded probabilities never add up to more.
-STEP = 4096
+#: Codes of probabilities: -log10(p) in steps of 1/512, rounded up, so that coded probabilities never add up to more.
+STEP = 512
 NONE = 0xFFFF
 
 

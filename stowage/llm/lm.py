@@ -27,15 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, expand, frame, is_train, rows, slices, squeeze, table, texts_of, unframe
+from .common import Kept, expand, frame, is_train, rows, slices, squeeze, table, unframe
 from .elias_fano import Trie, decode, encode
 
 HELD = (10, 0)
 ALPHA = 0.1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 #: Distinct words, or pairs of neighbours, that a shard is meant to hold.
 SHARD_WORDS, SHARD_PAIRS = 400_000, 2_500_000
 HOT, HOT_PRIOR = 200_000, 1_000.0
+#: Pairs looked up at once, few enough for the CPU's cache.
+LOOKUPS = 1 << 15
 #: Word lists are ordered by this many hash buckets first; a power of two of shards divides them.
 BUCKETS = 4_096
 START, END, FIRST = 0, 1, 2
@@ -60,10 +62,10 @@ def _blocks(batches):
     """Block rows: ids, tokens by text, whether learned from, word numbers, and the words ordered by bucket and bytes."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
-        texts = texts_of(batch.column(1))
+        texts = batch.column(1).fill_null("")
         ids, train = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
-        for s, e in slices([len(t) + 1 for t in texts], BLOCK_BYTES):
-            tokens = pa.ListArray.from_arrays(*_split(texts[s:e]))
+        for s, e in slices((pc.binary_length(texts).to_numpy() + 1).tolist(), BLOCK_BYTES):
+            tokens = pa.ListArray.from_arrays(*_split(texts.slice(s, e - s)))
             n = np.diff(tokens.offsets.to_numpy())
             coded = tokens.values.dictionary_encode()
             words, codes = coded.dictionary, coded.indices.to_numpy()
@@ -79,11 +81,13 @@ def _blocks(batches):
             block += 1
 
 
-def _split(texts: list[str]) -> tuple[pa.Array, pa.Array]:
-    """Offsets and words (bytes) of the lower-cased texts."""
-    found = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-    return pa.array(offsets), pa.array([w for f in found for w in f], pa.binary())
+def _split(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Offsets and words (bytes) of the texts, A-Z in lower case."""
+    found = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, offsets = found.flatten(), found.offsets.to_numpy() - found.offsets[0].as_py()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends splits off empty words
+    before = np.concatenate([[0], np.cumsum(full)])
+    return pa.array(before[offsets].astype(np.int32)), words.filter(pa.array(full)).cast(pa.binary())
 
 
 def _ids(ids: pa.Array) -> bytes:
@@ -240,20 +244,25 @@ def _look_up(words: int):
             d, c, hot, size = unframe(b)
             asked.append((np.cumsum(expand(d, "<u8"), dtype=np.uint64), expand(c, "<u4"), expand(hot, "<u4"), expand(size, "<i8")))
         all_keys = np.concatenate([a[0] for a in asked])
-        keys, at = np.unique(all_keys, return_inverse=True)
-        c = np.bincount(at.ravel(), np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.int64)
+        order = np.argsort(all_keys, kind="stable")  # merges the sorted lists
+        ranked = all_keys[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        keys, at = ranked[new], np.empty(len(order), np.int32)
+        at[order] = np.cumsum(new) - 1
+        del all_keys, order, ranked, new
+        c = np.bincount(at, np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.int64)
         size = np.zeros(len(keys), np.int64)
         for k, _, hot, n in asked:
             size[np.searchsorted(keys, k[hot])] = n
-        del all_keys, at
         seen = c > 0
         trie = build(keys[seen], c[seen], np.flatnonzero(size[seen] > 0), size[seen], words).mapped()
-        out = []
-        for k, _, _, _ in asked:
-            context = k >> np.uint64(32)
-            p, backoff = trie.lookup(context, k & np.uint64(0xFFFFFFFF))
-            new = np.concatenate([[True], context[1:] != context[:-1]])
-            out.append(frame([squeeze(p), squeeze(backoff[new])]))
+        found = [trie.lookup(keys[s : s + LOOKUPS] >> np.uint64(32), keys[s : s + LOOKUPS] & np.uint64(0xFFFFFFFF)) for s in range(0, len(keys), LOOKUPS)]
+        p, backoff = (np.concatenate(x) for x in zip(*found))
+        out, ends = [], np.cumsum([len(a[0]) for a in asked])
+        for (k, _, _, _), e in zip(asked, ends):
+            own, context = at[e - len(k) : e], k >> np.uint64(32)
+            first = np.concatenate([[True], context[1:] != context[:-1]])
+            out.append(frame([squeeze(p[own]), squeeze(backoff[own[first]])]))
         return table(ROW, {"block": group.column("block").to_pylist(), "kind": [3] * len(out), "shard": [key[0].as_py()] * len(out), "n": [0] * len(out), "payload": out})
 
     return run
