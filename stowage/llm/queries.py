@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, lm, neighbours, packing, quality, simhash, topk
+from . import html_text, language_id, line_dedup, lm, neighbours, packing, pieces, quality, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": packing.query,
     "op2_exact_top_k": topk.query,
+    "op3_html_text": html_text.query,
+    "op4_sentencepiece": pieces.query,
     "op5_nearest_neighbours": neighbours.query,
     "op6_language_id": language_id.query,
     "op7_line_dedup": line_dedup.query,
