@@ -115,23 +115,22 @@ class Block:
             self.number, self.total = np.full(len(self.words), -1, np.int64), np.zeros(len(self.words), np.int64)
             for k, b in answers.items():
                 number, total = unframe(b)
-                number = expand(number, "<u4").astype(np.int64)
-                at = slice(self.cut[k], self.cut[k + 1])
-                self.number[at] = np.where(number > 0, number - 1 + base[k] + FIRST, -1)
-                self.total[at] = expand(total, "<i8")
+                at, total = slice(self.cut[k], self.cut[k + 1]), expand(total, "<i8")
+                self.number[at] = np.where(total > 0, np.cumsum(expand(number, "<u4"), dtype=np.int64) + base[k] + FIRST, -1)
+                self.total[at] = total
 
     def chains(self, n_train: int, unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of every token, ends included: context number, own number, count, text. Unknown words have the number `unknown`."""
         ends = np.cumsum(self.n + 1) - 1
         m = len(self.codes) + len(self.n)
-        own, count = np.full(m, END, np.int64), np.full(m, n_train, np.int64)
+        own, count = np.full(m, END, np.uint32), np.full(m, n_train, np.int64)
         word = np.ones(m, bool)
         word[ends] = False
         number = np.where(self.number < 0, unknown, self.number)
         own[word], count[word] = number[self.codes], self.total[self.codes]
-        context = np.concatenate([[START], own[:-1]])
+        context = np.concatenate([np.array([START], np.uint32), own[:-1]])
         context[np.concatenate([[0], ends[:-1] + 1])[: len(ends)]] = START
-        return context, own, count, np.repeat(np.arange(len(self.n)), self.n + 1)
+        return context, own, count, np.repeat(np.arange(len(self.n), dtype=np.int32), self.n + 1)
 
 
 def _deal_words(shards: int):
@@ -148,7 +147,7 @@ def _deal_words(shards: int):
 
 
 def _add_words(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    """Answers of a word shard: number (from 1; 0 if never learned) and count per word. One row of kind 2 has its totals."""
+    """Answers of a word shard: number and count (0 if never learned) per word. One row of kind 2 has its totals."""
     parts = [unframe(b) for b in group.column("payload").to_pylist()]
     lists = [expand(p[0], np.uint8).tobytes().split(b"\n") for p in parts]
     counts = [expand(p[1], "<u4").astype(np.int64) for p in parts]
@@ -156,12 +155,14 @@ def _add_words(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     at = coded.indices.to_numpy()
     total = np.zeros(len(coded.dictionary), np.int64)
     np.add.at(total, at, np.concatenate(counts))
-    number = np.where(total > 0, np.cumsum(total > 0), 0)
+    order = np.lexsort((pc.rank(coded.dictionary, tiebreaker="first").to_numpy(), _bucket(coded.dictionary)))
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))  # the order of every block's list, so that its numbers rise
     ends = np.cumsum([len(x) for x in lists])
-    answers = [frame([squeeze(number[at[s:e]].astype("<u4")), squeeze(total[at[s:e]])]) for s, e in zip([0, *ends], ends)]
+    answers = [frame([squeeze(np.diff(number[at[s:e]], prepend=0).astype("<u4")), squeeze(total[at[s:e]])]) for s, e in zip([0, *ends], ends)]
     shard = key[0].as_py()
     n = len(answers)
-    return table(ROW, {"block": [*group.column("block").to_pylist(), -1], "kind": [1] * n + [2], "shard": [shard] * (n + 1), "n": [0] * n + [int((total > 0).sum())], "payload": [*answers, np.array([total.sum()], "<i8").tobytes()]})
+    return table(ROW, {"block": [*group.column("block").to_pylist(), -1], "kind": [1] * n + [2], "shard": [shard] * (n + 1), "n": [0] * n + [len(total)], "payload": [*answers, np.array([(total > 0).sum(), total.sum()], "<i8").tobytes()]})
 
 
 def _read(group: pa.Table, shards: int, base: np.ndarray) -> tuple[Block | None, dict[int, bytes]]:
@@ -176,13 +177,13 @@ class Pairs:
     """The distinct pairs of a block, ordered by shard and key, and the place of every token's pair among them."""
 
     def __init__(self, block: Block, n_train: int, unknown: int, shards: int):
-        self.context, self.own, self.count, self.text = block.chains(n_train, unknown)
-        count = np.concatenate([[0], self.count[:-1]])
-        count[self.context == START] = n_train
-        key = (self.context.astype(np.uint64) << np.uint64(32)) | self.own.astype(np.uint64)
+        context, own, self.count, text = block.chains(n_train, unknown)
+        key = (context.astype(np.uint64) << np.uint64(32)) | own
+        del own
         self.keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-        v, w = self.keys >> np.uint64(32), self.keys & np.uint64(0xFFFFFFFF)
-        self.size = count[first]
+        del key
+        v = self.keys >> np.uint64(32)
+        self.size = np.where(context[first] == START, n_train, self.count[first - 1])  # the context's count
         mixed = np.where(self.size >= HOT, self.keys, v) * _P
         shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
@@ -190,9 +191,8 @@ class Pairs:
         back[order] = np.arange(len(order))
         self.keys, self.size, self.at = self.keys[order], self.size[order], back[at.ravel()]
         self.cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        learned = block.train[self.text]
+        learned = block.train[text]
         self.learned = np.bincount(self.at[learned], minlength=len(order)).astype("<u4")
-        self.words = w
 
 
 def _deal_pairs(word_shards: int, base: np.ndarray, n_train: int, unknown: int, shards: int):
@@ -304,14 +304,13 @@ def score(df: DataFrame, train, id: str = "doc_id", text: str = "text") -> DataF
     word_shards = 1 << min(12, max(4, math.ceil(math.log2(max(1, tokens / 16 / SHARD_WORDS)))))
     dealt = blocks.mapInArrow(_deal_words(word_shards), ROW)
     words = Kept(dealt.groupBy("shard").applyInArrow(_add_words, ROW), "lm-words").df
-    sums = {r["shard"]: (r["n"], int.from_bytes(r["payload"], "little")) for r in words.where("kind = 2").collect()}  # a row a shard
-    per = np.array([sums.get(k, (0, 0))[0] for k in range(word_shards)], np.int64)
+    sums = {r["shard"]: (r["n"], *np.frombuffer(r["payload"], "<i8").tolist()) for r in words.where("kind = 2").collect()}  # a row a shard
+    per = np.array([sums.get(k, (0, 0, 0))[0] for k in range(word_shards)], np.int64)
     base = np.concatenate([[0], np.cumsum(per)])
-    known = int(base[-1])
-    unknown = known + FIRST
+    unknown = int(base[-1]) + FIRST
     if unknown >= 1 << 32:
         raise ValueError("more distinct words than 32-bit word numbers")
-    n_words, n_tokens = known + (n_train > 0), sum(x[1] for x in sums.values()) + n_train
+    n_words, n_tokens = sum(x[1] for x in sums.values()) + (n_train > 0), sum(x[2] for x in sums.values()) + n_train
     shards = max(16, math.ceil(tokens / SHARD_PAIRS))
     asked = blocks.union(words.where("kind = 1"))
     pairs = asked.groupBy("block").applyInArrow(_deal_pairs(word_shards, base, n_train, unknown, shards), ROW)
