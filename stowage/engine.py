@@ -5,7 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
-from concurrent.futures import CancelledError, Future
+from concurrent.futures import Future
 
 from pyspark.sql import SparkSession
 
@@ -55,15 +55,13 @@ class Engine:
 
         def seen(p: Progress) -> None:
             handle._progress = p
-            if handle._stop.is_set():
-                raise CancelledError
             if on_progress:
                 on_progress(p)
 
         def work() -> None:
             self.spark.addTag(handle._tag)  # of this thread's jobs
             try:
-                handle._future.set_result(pack.run(self.spark, request, self.options, seen))
+                handle._future.set_result(pack.run(self.spark, request, self.options, seen, stopped=handle._stop.is_set))
             except PackError as e:
                 handle._future.set_exception(e)
             except BaseException as e:  # noqa: BLE001  an error of any kind belongs to the handle

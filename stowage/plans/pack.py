@@ -33,8 +33,13 @@ def compressed(source: DataFrame, options: JobOptions) -> DataFrame:
     return made.select("file_id", "block_index", F.crc32("payload").alias("crc32"), F.col("used_bytes").alias("uncompressed"), F.octet_length("bytes").cast("long").alias("compressed"), "bytes")
 
 
-def run(spark: SparkSession, request: JobRequest, engine: EngineOptions = EngineOptions(), on_progress: Callable[[Progress], None] | None = None, gpu_available: bool = False) -> JobStats:
+def run(spark: SparkSession, request: JobRequest, engine: EngineOptions = EngineOptions(), on_progress: Callable[[Progress], None] | None = None, gpu_available: bool = False, stopped: Callable[[], bool] = lambda: False) -> JobStats:
     began = time.monotonic()
+
+    def alive() -> None:
+        if stopped():
+            raise PackError(Status.CANCELLED, "cancelled")
+
     validate(request)
     options, progress = request.options, Throttle(on_progress)
     check(options.format)
@@ -49,11 +54,14 @@ def run(spark: SparkSession, request: JobRequest, engine: EngineOptions = Engine
     # so many blocks at once that an Arrow batch stays near 64 MiB
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", max(1, min(10_000, 64 * MIB // block)))
     progress.update(total_files=len(entries), total_bytes=sum(e.size_bytes for e in entries))
+    alive()
     # deflate runs once: its result is written to the shared folder and read for sizes and again for bytes
     made = Kept(compressed(blocks(spark, entries, block), options), "pack-blocks")
+    alive()
     meta = made.df.select("file_id", "block_index", "crc32", "uncompressed", "compressed")
     files = Kept(assemble(meta, block).join(manifest(spark, entries).select("file_id", "ordinal", "archive_path", "mtime"), "file_id"), "pack-files")
     rows = (archives.zip_rows if options.format == Format.ZIP else archives.gzip_rows)(files.df, made.df)
+    alive()
     archives.write(rows, request.output, options.overwrite)
     kind = route(F.col("uncompressed"), options.algorithm, engine.enable_gpu and gpu_available, options.gpu_threshold_bytes)
     total = job_stats(files.df.withColumn("route", kind)).first().asDict()
