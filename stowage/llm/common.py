@@ -1,4 +1,4 @@
-"""What the operators share: the cluster's shared folder, batch mapping and block packing.
+"""What the operators share: batch mapping and block packing.
 
 Every operator takes a DataFrame and column names. Columns an operator does not need are pruned before any Python
 code runs; where rows pass through, a result column replaces an input column of the same name.
@@ -6,67 +6,15 @@ code runs; where rows pass through, a result column replaces an input column of
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="stowage-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended; the cluster's own clean-up takes the rest
-            return
-
-
-class Kept:
-    """A table written to the shared folder: a lost executor recomputes nothing before it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.schema = df.schema
-        _written.append((self.spark, self.path))
-
-    @property
-    def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Only for tables that no DataFrame handed out still reads."""
-        _written.remove((self.spark, self.path))
-        _delete(self.spark, self.path)
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    return Kept(df, name).df
+from ..shared import Kept, keep, shared_dir  # noqa: F401  for the operators
 
 
 def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict], setup: Callable[[], object] | None = None) -> DataFrame:
