@@ -1,7 +1,8 @@
 """CRC-32 of concatenations as Catalyst expressions.
 
 A CRC is a polynomial over GF(2) modulo POLY, bits reflected. Appending n bytes multiplies it by x^(8n), so
-combine(c1, c2, n) = c1 * x^(8n) + c2. Powers x^(2^k) repeat after 32 and are an array literal.
+combine(c1, c2, n) = c1 * x^(8n) + c2. Powers x^(2^k) repeat after 32. Multiplying by a fixed power is linear, so products
+with a power are looked up by nibbles of the CRC in a table built below.
 """
 
 from __future__ import annotations
@@ -46,38 +47,28 @@ def combine(c1: int, c2: int, n: int) -> int:
     return multiply(shift(n), c1) ^ c2
 
 
-def _long(x: int) -> Column:
-    return F.lit(x).cast("long")
+#: Bits of a length: part sizes stay below 2^LENGTH_BITS.
+LENGTH_BITS = 48
 
 
-def multiply_col(a: Column, b: Column) -> Column:
-    """Product of two polynomials, as longs below 2^32."""
-    start = F.struct(_long(0).alias("out"), b.alias("b"))
-    step = lambda s, k: F.struct(
-        F.when(a.bitwiseAND(F.element_at(_bits(), k)) != 0, s["out"].bitwiseXOR(s["b"])).otherwise(s["out"]).alias("out"),
-        F.when(s["b"].bitwiseAND(_long(1)) == 1, F.shiftright(s["b"], 1).bitwiseXOR(_long(POLY))).otherwise(F.shiftright(s["b"], 1)).alias("b"),
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda s: s["out"])
+def _products() -> list[int]:
+    """For bit k of a length, nibble j of a CRC and the nibble's value v, at 128k + 16j + v: the CRC's part times x^(8 * 2^k)."""
+    return [multiply(POWERS[(k + 3) % 32], v << 4 * j) for k in range(LENGTH_BITS) for j in range(8) for v in range(16)]
 
 
-def _bits() -> Column:
-    return F.array(*[_long(1 << k) for k in range(31, -1, -1)])
+PRODUCTS = _products()
 
 
-def shift_col(n: Column) -> Column:
-    """x^(8n) for a long n >= 0."""
-    powers = F.array(*[_long(POWERS[(k + 3) % 32]) for k in range(48)])
-    set_bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(47)), lambda k: F.when(F.expr("1L").bitwiseAND(_right(n, k)) == 1, k)), lambda k: k.isNotNull())
-    return F.aggregate(set_bits, _long(ONE), lambda power, k: multiply_col(F.element_at(powers, k + 1), power))
+def combine_col(c1: Column, c2: Column, n: Column) -> Column:
+    """CRC of two parts from their CRCs and the length of the second: one step of eight lookups for each set bit of the length."""
+    table = F.from_json(F.lit(str(PRODUCTS)), "array<bigint>")  # folded to a literal
+    bits = F.filter(F.sequence(F.lit(0), F.lit(LENGTH_BITS - 1)), lambda k: F.call_function("shiftright", n.cast("long"), k).bitwiseAND(F.lit(1).cast("long")) == 1)
 
+    def step(crc: Column, k: Column) -> Column:
+        parts = [F.element_at(table, k * 128 + F.shiftright(crc, 4 * j).bitwiseAND(F.lit(15).cast("long")).cast("int") + (16 * j + 1)) for j in range(8)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.bitwiseXOR(p)
+        return out
 
-def _right(n: Column, k: Column) -> Column:
-    return F.call_function("shiftright", n, k)
-
-
-def combine_col(c1: Column, c2: Column, n: Column, usual: int | None = None) -> Column:
-    """CRC of two parts from their CRCs and the length of the second. usual: a length for which the power is a constant."""
-    power = shift_col(n)
-    if usual is not None:
-        power = F.when(n == usual, _long(shift(usual))).otherwise(power)
-    return multiply_col(power, c1).bitwiseXOR(c2)
+    return F.aggregate(bits, c1, step).bitwiseXOR(c2)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.crc import combine_col
 
 
-def assemble(blocks: DataFrame, block_bytes: int) -> DataFrame:
+def assemble(blocks: DataFrame) -> DataFrame:
     """blocks(file_id, block_index, crc32, uncompressed, compressed) to one row per file with the whole file's CRC."""
     ordered = F.sort_array(F.collect_list(F.struct("block_index", "crc32", "uncompressed")))
-    crc = F.aggregate("_blocks", F.lit(0).cast("long"), lambda whole, b: F.when(b["block_index"] == 0, b["crc32"]).otherwise(combine_col(whole, b["crc32"], b["uncompressed"], block_bytes)))
+    crc = F.aggregate("_blocks", F.lit(0).cast("long"), lambda whole, b: F.when(b["block_index"] == 0, b["crc32"]).otherwise(combine_col(whole, b["crc32"], b["uncompressed"])))
     sums = blocks.groupBy("file_id").agg(ordered.alias("_blocks"), F.sum("uncompressed").alias("uncompressed"), F.sum("compressed").alias("compressed"))
     return sums.select("file_id", F.size("_blocks").alias("blocks"), crc.alias("file_crc32"), "uncompressed", "compressed")
 

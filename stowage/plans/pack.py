@@ -59,7 +59,7 @@ def run(spark: SparkSession, request: JobRequest, engine: EngineOptions = Engine
     made = Kept(compressed(blocks(spark, entries, block), options), "pack-blocks")
     alive()
     meta = made.df.select("file_id", "block_index", "crc32", "uncompressed", "compressed")
-    files = Kept(assemble(meta, block).join(manifest(spark, entries).select("file_id", "ordinal", "archive_path", "mtime"), "file_id"), "pack-files")
+    files = Kept(assemble(meta).join(manifest(spark, entries).select("file_id", "ordinal", "archive_path", "mtime"), "file_id"), "pack-files")
     rows = (archives.zip_rows if options.format == Format.ZIP else archives.gzip_rows)(files.df, made.df)
     alive()
     archives.write(rows, request.output, options.overwrite)

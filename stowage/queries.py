@@ -183,7 +183,7 @@ def crc32_incremental(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("file_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload")).withColumn("size_bytes", F.octet_length("payload").cast("long"))
     chunks = read(split(items, 100)).select("file_id", "block_index", F.crc32("payload").alias("crc32"), F.col("used_bytes").alias("uncompressed"), F.lit(0).cast("long").alias("compressed"))
     whole = items.select("file_id", F.crc32("payload").alias("whole"))
-    return assemble(chunks, 100).join(whole, "file_id").select(F.col("file_id").alias("item_id"), (F.col("file_crc32") == F.col("whole")).alias("equal"))
+    return assemble(chunks).join(whole, "file_id").select(F.col("file_id").alias("item_id"), (F.col("file_crc32") == F.col("whole")).alias("equal"))
 
 
 @query("select c_custkey, true as equal from customer")
@@ -238,7 +238,7 @@ def assemble_files(spark, d):
     files = documents(spark, d, payload=True).select("file_id", "size_bytes", "payload")
     blocks = read(split(files, BLOCK)).select("file_id", "block_index", F.crc32("payload").alias("crc32"), F.col("used_bytes").alias("uncompressed"), F.col("used_bytes").alias("compressed"))
     whole = files.select("file_id", F.crc32("payload").alias("whole"))
-    return assemble(blocks, BLOCK).join(whole, "file_id").select("file_id", "blocks", "uncompressed", "compressed", (F.col("file_crc32") == F.col("whole")).alias("crc_equal"))
+    return assemble(blocks).join(whole, "file_id").select("file_id", "blocks", "uncompressed", "compressed", (F.col("file_crc32") == F.col("whole")).alias("crc_equal"))
 
 
 @query(f"with {BLOCKS} select (row_number() over (order by ordinal, block_index) - 1)::bigint as position, ordinal, block_index from blocks")
@@ -414,7 +414,7 @@ def zip_roundtrip(spark, d):
     files = ordered(documents(spark, d)).select("file_id", "ordinal", "archive_path", "size_bytes")
     source = read(split(documents(spark, d, payload=True).select("file_id", "size_bytes", "payload"), BLOCK))
     blocks = Kept(compressed(source, JobOptions()), "zip-blocks").df
-    sums = assemble(blocks.select("file_id", "block_index", "crc32", "uncompressed", "compressed"), BLOCK)
+    sums = assemble(blocks.select("file_id", "block_index", "crc32", "uncompressed", "compressed"))
     meta = Kept(sums.join(files, "file_id").withColumn("mtime", F.lit("2001-02-03 04:05:06").cast("timestamp_ntz")), "zip-files").df
     path = f"{shared_dir(spark).removeprefix('file://')}/documents-{uuid.uuid4().hex}.zip"
     archives.write(archives.zip_rows(meta, blocks), path)

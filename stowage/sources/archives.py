@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 from ..functions.wire import epoch_seconds, name_bytes, name_in_archive
 from ..model import Format, PackError, Status
 from ..operators import layout
+from ..shared import keep
 
 
 @dataclass
@@ -95,6 +96,7 @@ def zip_rows(files: DataFrame, blocks: DataFrame) -> DataFrame:
     """files(file_id, ordinal, archive_path, mtime, file_crc32, uncompressed, compressed) and blocks(file_id, block_index, compressed, bytes) to (offset, bytes)."""
     entries = layout.offsets(files.select("file_id", "ordinal", name_in_archive(F.col("archive_path")).alias("name"), "mtime", F.col("file_crc32").alias("crc32"), "uncompressed", "compressed"))
     entries = entries.withColumn("name", F.when(name_bytes(F.col("name")) <= 65535, F.col("name")).otherwise(F.raise_error(F.lit("FORMAT_ERROR: a name of more than 65535 bytes"))))
+    entries = keep(entries, "zip-entries")  # read by all parts of the archive
     heads = entries.select(F.col("lfh_offset").alias("offset"), F.unhex(layout.local_header()).alias("bytes"))
     data = _placed(blocks, entries.select("file_id", (F.col("lfh_offset") + layout.local_size()).alias("_start")))
     total = layout.directory(entries)
