@@ -157,5 +157,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents in which no language is found; clean documents of any learned language stay."""
     model = fit(docs.where(is_train("doc_id", 3, 1)))
-    names = ("_lang_pred", "_lang_score")
+    names = ("_stowage_lang_pred", "_stowage_lang_score")
     return predict(docs, model, into=names).where(F.col(names[0]) != "und").select(*docs.columns)

@@ -203,5 +203,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier predicts to be of label 0."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = ("_quality_score", "_quality_predicted")
+    names = ("_stowage_quality_score", "_stowage_quality_predicted")
     return predict(docs, model, into=names).where(F.col(names[1]) == 1).select(*docs.columns)

@@ -27,7 +27,7 @@ FAN = 64
 
 
 def usable(column: pa.Array, zero: bool) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places and vectors (double) that are not null, hold no null or non-finite component and, if zero is false, are not zero."""
+    """Places and vectors (double) that are not null or empty, hold no null or non-finite component and, if zero is false, are not zero."""
     flat = column.flatten()
     lengths = np.diff(column.offsets.to_numpy()) if not column.null_count else np.array([0 if v is None else len(v) for v in column.to_pylist()])
     values = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64)
@@ -36,7 +36,7 @@ def usable(column: pa.Array, zero: bool) -> tuple[np.ndarray, list[np.ndarray]]:
     ends = np.cumsum(lengths)
     vectors = [values[e - n : e] for n, e in zip(lengths, ends)]
     valid = column.is_valid().to_numpy(zero_copy_only=False)
-    keep = [i for i, v in enumerate(vectors) if valid[i] and np.isfinite(v).all() and (zero or v.any())]
+    keep = [i for i, v in enumerate(vectors) if valid[i] and len(v) and np.isfinite(v).all() and (zero or v.any())]
     return np.array(keep, np.int64), [vectors[i] for i in keep]
 
 
