@@ -32,6 +32,14 @@ class JobHandle:
         self._stop.set()
         self._spark.interruptTag(self._tag)
 
+    def __enter__(self) -> JobHandle:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Leaving the block stops a job that still runs."""
+        if not self.done():
+            self.cancel()
+
     def progress(self) -> Progress:
         return self._progress
 

@@ -31,6 +31,14 @@ def inflate_bytes(data: bytes) -> bytes:
     return out
 
 
+def deflate_batch(parts: list[bytes], out: list, level: Level = Level.BALANCED) -> None:
+    """One file's blocks in order, into a list of as many places."""
+    if len(parts) != len(out):
+        raise PackError(Status.INVALID_ARGUMENT, f"{len(parts)} blocks for {len(out)} places")
+    for i, data in enumerate(parts):
+        out[i] = deflate_bytes(data, i + 1 == len(parts), ZLIB_LEVEL[level])
+
+
 def check(format: Format) -> None:
     if format not in (Format.ZIP, Format.GZIP):
         raise PackError(Status.UNSUPPORTED, f"no codec for {format.name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import time
 from collections.abc import Callable
@@ -20,6 +21,11 @@ from ..sources.files import blocks, manifest, scan
 from ..streaming.progress import Throttle
 
 
+log = logging.getLogger("stowage")
+
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def validate(request: JobRequest) -> None:
     if not request.inputs:
         raise PackError(Status.INVALID_ARGUMENT, "no inputs")
@@ -51,12 +57,16 @@ def run(spark: SparkSession, request: JobRequest, engine: EngineOptions = Engine
         raise PackError(Status.INVALID_ARGUMENT, f"{request.output} exists")
     ship(spark)
     block = options.block_bytes or MIB
-    # so many blocks at once that an Arrow batch stays near 64 MiB
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", max(1, min(10_000, 64 * MIB // block)))
+    log.info("packing %d files into %s", len(entries), request.output)
     progress.update(total_files=len(entries), total_bytes=sum(e.size_bytes for e in entries))
     alive()
     # deflate runs once: its result is written to the shared folder and read for sizes and again for bytes
-    made = Kept(compressed(blocks(spark, entries, block), options), "pack-blocks")
+    batch = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, max(1, min(10_000, 64 * MIB // block)))  # an Arrow batch stays near 64 MiB
+    try:
+        made = Kept(compressed(blocks(spark, entries, block), options), "pack-blocks")
+    finally:
+        spark.conf.set(BATCH, batch)
     alive()
     meta = made.df.select("file_id", "block_index", "crc32", "uncompressed", "compressed")
     files = Kept(assemble(meta).join(manifest(spark, entries).select("file_id", "ordinal", "archive_path", "mtime"), "file_id"), "pack-files")
@@ -70,4 +80,5 @@ def run(spark: SparkSession, request: JobRequest, engine: EngineOptions = Engine
     stats = JobStats(**total, elapsed_ms=int(1000 * (time.monotonic() - began)), archive_bytes=os.path.getsize(request.output))
     progress.update(processed_files=stats.files_processed, processed_bytes=stats.input_bytes, output_bytes=stats.output_bytes, current_file=entries[-1].archive_path)
     progress.flush()
+    log.info("packed %d bytes into %d in %d ms", stats.input_bytes, stats.archive_bytes, stats.elapsed_ms)
     return stats

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import io
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .shared import shared_dir
+
 _shipped: set[tuple[str, str]] = set()
 
 
@@ -20,9 +22,14 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if (sc.applicationId, digest) in _shipped:
         return
-    target = Path(tempfile.mkdtemp(prefix="stowage-zip-")) / f"stowage_{digest}.zip"  # the driver serves it to executors
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for p in files:
             z.write(p, f"{package.name}/{p.relative_to(package)}")
-    sc.addPyFile(str(target))
+    # into the shared folder, through Hadoop: that may be any store
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stowage_{digest}.zip")
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
+    sc.addPyFile(target.toString())
     _shipped.add((sc.applicationId, digest))

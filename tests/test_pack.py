@@ -24,7 +24,7 @@ from stowage.model import Algorithm, EngineOptions, Format, JobOptions, JobReque
 from stowage.operators import layout
 from stowage.operators.assemble import before, numbered
 from stowage.operators.blocks import route, split
-from stowage.operators.codec import deflate_bytes, inflate_bytes
+from stowage.operators.codec import deflate_batch, deflate_bytes, inflate_bytes
 from stowage.sources.files import blocks, path_in_archive, scan
 from stowage.streaming.progress import Throttle
 
@@ -80,6 +80,16 @@ def test_blocks_are_one_stream(data, block, level):
     assert inflate_bytes(joined) == data
 
 
+def test_batch():
+    out: list = [None] * 3
+    deflate_batch([b"ab", b"", b"c" * 999], out)
+    assert inflate_bytes(b"".join(out)) == b"ab" + b"c" * 999
+    deflate_batch([], [])
+    with pytest.raises(PackError) as e:
+        deflate_batch([b"x"], [])
+    assert e.value.code == Status.INVALID_ARGUMENT
+
+
 def test_empty_block_is_a_stream():
     assert deflate_bytes(b"", True, -1) == b"\x03\x00"
 
