@@ -13,17 +13,18 @@ rows of both classes every score is the share of label 1 (0.5 without any label)
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_train, map_batches, slices, texts_of
+from .common import Kept, expand, is_train, map_batches, rows, slices, squeeze, texts_of
 
 WORDS, SHAPES = 1 << 15, 1 << 10
 WORD_DIM, SHAPE_DIM = 32, 48
 HIDDEN = 24
 #: Bound of the training sample: labelled documents per class, chosen by a hash of the id.
 PER_CLASS = 4_000
+#: Tasks that the sample is spread over.
+PARTS = 8
 CHUNK = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,19 +127,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logits(pool(texts, self.words, self.shapes)) / self.temperature, -40, 40)))
 
 
-def fit_texts(texts: list[str], y: np.ndarray, seed: int = 7, epochs: int = 60) -> Model:
-    """One fifth of the sample is kept from the network to fit the temperature."""
-    if not len(y) or y.min() == y.max():
-        return Model(*[None] * 9, constant=float(y.mean()) if len(y) else 0.5)
-    word_index, shape_index = index_vectors(WORDS, WORD_DIM, seed), index_vectors(SHAPES, SHAPE_DIM, seed + 1)
-    word_context, shape_context = np.zeros_like(word_index), np.zeros_like(shape_index)
+def contexts(texts: list[str], seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the index vectors seen next to each word and each shape."""
+    index = index_vectors(WORDS, WORD_DIM, seed), index_vectors(SHAPES, SHAPE_DIM, seed + 1)
+    out = np.zeros_like(index[0]), np.zeros_like(index[1])
     for s, e in slices([len(t) + 1 for t in texts], CHUNK):
         w, h, at = tokens([t.encode("utf-8", "surrogatepass") for t in texts[s:e]])
-        word_context += context_vectors(w, at, word_index)
-        shape_context += context_vectors(h, at, shape_index)
-    words = _unit(word_context)
-    shapes = np.concatenate([shape_index / np.sqrt(6), _unit(shape_context)], axis=1).astype(np.float32)
-    x = pool(texts, words, shapes)
+        for sums, ids, table in zip(out, (w, h), index):
+            sums += context_vectors(ids, at, table)
+    return out
+
+
+def vectors(words: np.ndarray, shapes: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of words and shapes from their context sums."""
+    return _unit(words), np.concatenate([index_vectors(SHAPES, SHAPE_DIM, seed + 1) / np.sqrt(6), _unit(shapes)], axis=1).astype(np.float32)
+
+
+def train(x: np.ndarray, y: np.ndarray, words: np.ndarray | None, shapes: np.ndarray | None, seed: int = 7, epochs: int = 60) -> Model:
+    """The network on pooled documents. One fifth of them is kept from it to fit the temperature."""
+    if not len(y) or y.min() == y.max():
+        return Model(*[None] * 9, constant=float(y.mean()) if len(y) else 0.5)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     draw = np.random.Generator(np.random.PCG64(seed))
     held = draw.permutation(len(y)) % 5 == 0
@@ -166,7 +174,8 @@ def fit_texts(texts: list[str], y: np.ndarray, seed: int = 7, epochs: int = 60)
     model = Model(words, shapes, mean, scale, *p, temperature=1.0)
     if held.any():
         z, t = model.logits(x[held]), y[held]
-        loss = lambda c: np.logaddexp(0, np.where(t == 1, -z, z) / c).mean()
+        # a unit normal prior on log temperature: a small sample that the network separates says little about how sure it may be
+        loss = lambda c: np.logaddexp(0, np.where(t == 1, -z, z) / c).sum() + np.log(c) ** 2 / 2
         model.temperature = float(min(np.geomspace(0.25, 8, 81), key=loss))
     return model
 
@@ -178,8 +187,29 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id"
     place = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 20))
     few = marked.where(place < F.when(F.col("label") == 1, per_class / max(1, n.get(1, 0))).otherwise(per_class / max(1, n.get(0, 0))) * (1 << 20))
     few = few.where(is_train("id", 3, 1))
-    got = df.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").orderBy("id", "text").toArrow()  # bounded by per_class
-    return fit_texts(texts_of(got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())), np.array(got.column("label").to_pylist(), int))
+    # at most two classes of about per_class ids, so the broadcast is bounded; of rows that repeat an id one teaches
+    taught = df.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(few), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    sample = Kept(taught.repartition(PARTS, "id"), "quality-sample").df
+
+    def count(batches):
+        sums = [contexts(texts_of(b.column(0))) for b in batches if b.num_rows]
+        if sums:
+            yield rows("words binary, shapes binary", {"words": [squeeze(sum(s[0] for s in sums).ravel())], "shapes": [squeeze(sum(s[1] for s in sums).ravel())]})
+
+    # a few tables and vectors of fixed size come to the driver, whatever the texts' lengths
+    parts = sorted(sample.select("text").mapInArrow(count, "words binary, shapes binary").collect())
+    sums = [sum((expand(p[c], "<f4").astype(np.float64) for p in parts), np.zeros(n * d)).reshape(n, d) for c, n, d in (("words", WORDS, WORD_DIM), ("shapes", SHAPES, SHAPE_DIM))]
+    tables = vectors(*sums)
+    shared = df.sparkSession.sparkContext.broadcast(tables)
+
+    def pooled(batches):
+        for b in batches:
+            if b.num_rows:
+                x = pool(texts_of(b.column(0)), *shared.value)
+                yield rows("label int, id string, x binary", {"label": b.column(1).to_pylist(), "id": [str(i) for i in b.column(2).to_pylist()], "x": [v.tobytes() for v in x]})
+
+    got = sorted(sample.select("text", "label", "id").mapInArrow(pooled, "label int, id string, x binary").collect(), key=lambda r: r["id"])
+    return train(np.array([np.frombuffer(r["x"]) for r in got]), np.array([r["label"] for r in got], int), *tables)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
