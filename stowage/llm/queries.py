@@ -26,11 +26,22 @@ ORACLE_SQL: dict[str, str] = {
 with usable as (
   select vec_id, row_number() over () as row_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v
   from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.row_id as query_row, q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score, c.row_id as row_id
   from usable q, usable c where q.vec_id % 20 = 0 and q.row_id <> c.row_id and len(q.v) = len(c.v)),
 ranked as (select *, row_number() over (partition by query_row order by score desc, vec_id, row_id) as r from scored)
+select query_id, r::int as rank, vec_id, score from ranked where r <= 20""",
+    "op5_nearest_neighbours": """
+with usable as (
+  select vec_id, row_number() over () as row_id, list_transform(embedding, lambda x: x::double) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored as (
+  select q.row_id as query_row, q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v) as score, c.row_id as row_id
+  from usable q, usable c where q.vec_id % 20 = 0 and q.row_id <> c.row_id and len(q.v) = len(c.v)),
+ranked as (select *, row_number() over (partition by query_row order by score desc, vec_id, row_id) as r from scored)
 select query_id, r::int as rank, vec_id, score from ranked where r <= 20""",
     "op7_line_dedup": """
 with lines as (
