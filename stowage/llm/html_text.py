@@ -31,7 +31,7 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "link", "mark", "meta", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-OUT = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "datalist", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "fieldset", "label", "input", "map"}
+OUT = {"head", "nav", "footer", "aside", "button", "select", "option", "datalist", "dialog", "menu", "object", "embed", "canvas", "audio", "video", "fieldset", "label", "input", "map"}
 OUT_WORDS = {
     "ad", "ads", "adbox", "adsense", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "sponsors", "promo", "promotion", "banner", "banners",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "paywall", "disclaimer",
@@ -40,6 +40,10 @@ OUT_WORDS = {
     "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "discussion", "reviews", "form", "feedback",
 }
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
+#: First words of class names that describe the page around an element, as in has-sidebar.
+ABOUT = {"has", "with", "no", "not", "without", "is", "js"}
+#: Elements that never hold an article: one that is open when an article begins was not closed.
+NEVER = {"nav", "header", "menu", "footer"}
 MAIN_WORDS = {"article", "story", "post", "entry", "content", "main", "body", "page", "text"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -48,9 +52,11 @@ COPY = 0.5
 
 
 class Block:
+    """out: 2 in what holds no article, 1 in a form only, 0 elsewhere."""
+
     __slots__ = ("text", "out", "main", "linked")
 
-    def __init__(self, text: str, out: bool, main: int, linked: float):
+    def __init__(self, text: str, out: int, main: int, linked: float):
         self.text, self.out, self.main, self.linked = text, out, main, linked
 
 
@@ -70,7 +76,7 @@ def _role(tag: str, raw: str, in_main: bool) -> tuple[bool, int]:
         return True, 0
     if tag not in ("html", "body", "article", "main"):
         for words in _words(f"{a.get('class', '')} {a.get('id', '')}"):
-            marks = OUT_WORDS & set(words)
+            marks = OUT_WORDS & set(words) if words and words[0] not in ABOUT else set()
             if marks - {"header"} or marks and not MAIN_WORDS & set(words) and not in_main:
                 return True, 0
     elif tag == "article" and any(OUT_WORDS & set(w) for w in _words(a.get("class", ""))):
@@ -84,7 +90,7 @@ def blocks(html: str) -> list[Block]:
     """The text blocks of a page in order, white space collapsed, without empty ones."""
     found: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # name, holds no article, rank
-    outs = mains = tops = links = 0
+    outs = mains = tops = links = forms = 0
     text: list[str] = []
     linked = 0
 
@@ -93,7 +99,7 @@ def blocks(html: str) -> list[Block]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                found.append(Block(whole, outs > 0, 2 if mains else 1 if tops else 0, linked / max(1, sum(map(len, text)))))
+                found.append(Block(whole, 2 if outs else min(forms, 1), 2 if mains else 1 if tops else 0, linked / max(1, sum(map(len, text)))))
             text.clear()
             linked = 0
 
@@ -103,6 +109,15 @@ def blocks(html: str) -> list[Block]:
             text.append(piece)
             linked += len(piece) if links else 0
 
+    def leave(name: str) -> None:
+        """Closes the innermost open element of that name and all in it, if there is one."""
+        nonlocal outs, mains, tops, links, forms
+        if any(n == name for n, _, _ in stack):
+            n = None
+            while n != name:
+                n, out, rank = stack.pop()
+                outs, mains, tops, links, forms = outs - out, mains - (rank == 2), tops - (rank == 1), links - (n == "a"), forms - (n == "form")
+
     at, size = 0, len(html)
     while at < size:
         m = _TAG.search(html, at)
@@ -131,18 +146,16 @@ def blocks(html: str) -> list[Block]:
         if name in VOID:
             continue
         if closing:
-            if any(n == name for n, _, _ in stack):
-                while stack:
-                    n, out, rank = stack.pop()
-                    outs, mains, tops, links = outs - out, mains - (rank == 2), tops - (rank == 1), links - (n == "a")
-                    if n == name:
-                        break
+            leave(name)
         elif not raw.endswith("/") or name == "a":
             if name in ("p", "li") and stack and stack[-1][0] == name:
-                stack.pop()  # left open
+                leave(name)  # left open
+            if name in ("article", "main"):
+                for never in NEVER:
+                    leave(never)
             out, rank = _role(name, raw, mains + tops > 0)
             stack.append((name, out, rank))
-            outs, mains, tops, links = outs + out, mains + (rank == 2), tops + (rank == 1), links + (name == "a")
+            outs, mains, tops, links, forms = outs + out, mains + (rank == 2), tops + (rank == 1), links + (name == "a"), forms + (name == "form")
     end()
     return found
 
@@ -193,6 +206,9 @@ def _alike(a: Page, b: Page | None) -> int:
 def main_text(page: Page, before: Page | None = None, after: Page | None = None) -> str:
     """The page's text, given its neighbours in the order of URLs."""
     left = [i for i, b in enumerate(page.blocks) if not b.out]
+    inside = [i for i, b in enumerate(page.blocks) if b.out == 1]
+    if not left and any(page.lines[i].count(" ") >= 9 for i in inside):  # some sites put a whole page, prose and all, into one form
+        left = inside
     best = max((page.blocks[i].main for i in left), default=0)
     if best:
         return " ".join(page.lines[i] for i in left if page.blocks[i].main == best)

@@ -114,6 +114,9 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<main><p>a<!-- no --></p><div class='cookie-notice'>ok?</div><p>b</p></main>", "a b"),
         ("<div class=wrap><p>a &lt;tag&gt; 1 < 2</p><ul><li>x<li>y</ul></div>", "a <tag> 1 < 2 x y"),
         ("<article><header><h1>T</h1></header><p>b</p><aside>no</aside><script>x</script><p>c</p></article>", "T b c"),
+        ("<nav><a href=/>left open<article><p>a</p></article>", "a"),
+        ("<div class='site has-sidebar'><p>kept</p><div class=sidebar-left>gone</div></div>", "kept"),
+        ("<section class='post'><h2>T</h2><div class='post-content'>x<div class='share-buttons'>s</div>y</div><div id=disqus_thread>c</div></section>", "T x y"),
         ("", ""),
     ],
 )
@@ -121,6 +124,11 @@ def test_main_text(body, want):
     assert html_text.main_text(html_text.Page(1, "u", "/p", "h", PAGE % body)) == want
 
 
+def test_page_in_a_form():
+    page = html_text.Page(1, "u", "/p", "h", "<body><form id=all><div class=menu>m</div><p>a text of ten words or more is taken as prose</p><button>send</button></form></body>")
+    assert html_text.main_text(page) == "a text of ten words or more is taken as prose"
+
+
 def test_differencing():
     page = lambda body, path: html_text.Page(1, "u", path, "h", f"<body><div>Shared head</div><p>{body}</p><p>{body} more</p><div>Shared foot</div></body>")
     a, b = page("the text of page a", "/x/1"), page("the text of page b", "/x/2")
