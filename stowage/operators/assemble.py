@@ -47,9 +47,8 @@ def job_stats(files: DataFrame) -> DataFrame:
 
 def progress(files: DataFrame, bucket: int = 1 << 17) -> DataFrame:
     """files(ordinal, size_bytes) with what is done after each: files, bytes and percent."""
-    total = files.agg(F.sum("size_bytes").alias("total_bytes"), F.count("*").alias("total_files"))
     done = before(before(files, "size_bytes", "ordinal", "_bytes", bucket), F.lit(1), "ordinal", "_files", bucket)
-    rows = done.crossJoin(F.broadcast(total))  # one row
+    rows = done.withColumn("total_files", files.agg(F.count("*")).scalar()).withColumn("total_bytes", files.agg(F.sum("size_bytes")).scalar())
     bytes_ = F.col("_bytes") + F.col("size_bytes")
     percent = F.when(F.col("total_bytes") > 0, 100 * bytes_ / F.col("total_bytes")).otherwise(F.lit(0.0))
     return rows.select("ordinal", (F.col("_files") + 1).alias("processed_files"), bytes_.alias("processed_bytes"), "total_files", "total_bytes", F.round(percent, 6).alias("percent"))

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Only where that is unset (tests on one machine) a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stowage-")
         spark.conf.set("spark.checkpoint.dir", found)

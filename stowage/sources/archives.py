@@ -100,8 +100,8 @@ def zip_rows(files: DataFrame, blocks: DataFrame) -> DataFrame:
     heads = entries.select(F.col("lfh_offset").alias("offset"), F.unhex(layout.local_header()).alias("bytes"))
     data = _placed(blocks, entries.select("file_id", (F.col("lfh_offset") + layout.local_size()).alias("_start")))
     total = layout.directory(entries)
-    central = layout.before(entries, layout.central_size(), "ordinal", "_at").crossJoin(F.broadcast(total.select("cd_offset")))  # one row
-    central = central.select((F.col("cd_offset") + F.col("_at")).alias("offset"), F.unhex(layout.central_header()).alias("bytes"))
+    central = layout.before(entries, layout.central_size(), "ordinal", "_at")
+    central = central.select((total.select("cd_offset").scalar() + F.col("_at")).alias("offset"), F.unhex(layout.central_header()).alias("bytes"))
     end = total.select((F.col("cd_offset") + F.col("cd_size")).alias("offset"), F.unhex(layout.end_records()).alias("bytes"))
     return heads.union(data).union(central).union(end)
 
