@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..shared import Kept, keep, shared_dir  # noqa: F401  for the operators
+from ..shared import Kept  # noqa: F401  for the operators
 
 
 def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict], setup: Callable[[], object] | None = None) -> DataFrame:

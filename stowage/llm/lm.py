@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Kept, expand, frame, is_train, rows, slices, squeeze, table, unframe
-from .elias_fano import Trie, decode, encode
+from .elias_fano import Trie, decode
 
 HELD = (10, 0)
 ALPHA = 0.1
