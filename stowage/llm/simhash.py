@@ -10,26 +10,34 @@ fitted to a bounded sample, the links are exact whatever it is.
 A long list is cut into chunks and each pair of chunks is a task of its own; a task hands on a spanning star of the
 links it found, so a dense group costs as many rows as it has members.
 
+The pipeline's stage asks for a Jaccard similarity of NEAR over runs of NEAR_WORDS words, at which fingerprints differ by
+8 to 10 bits, too many for the pigeonhole. It finds pairs by bands of MinHash and verifies each by its exact similarity.
+
 Defined cases: null or empty texts have fingerprint zero, which links like any other. Rows with a null id keep a row of
 their own; their component is the smallest id that is not null, or null if there is none.
 """
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Kept, rows, texts_of
+from .common import Kept, map_batches, rows, texts_of
 from .components import local_stars, stars
 
 TAU = 4
 WORDS = 4
 SEED = 42
+#: The pipeline's stage: near copies share this much of their runs of NEAR_WORDS words.
+NEAR, NEAR_WORDS = 0.8, 5
+#: MinHash bands and minima in each. A pair at NEAR shares no band with probability (1 - NEAR ** DEPTH) ** BANDS, 3e-6.
+BANDS, DEPTH = 32, 5
 #: Bound of the sample that the parts are fitted to.
 SAMPLE = 20_000
 #: A list longer than this is cut into chunks of this many.
@@ -38,20 +46,25 @@ CHUNK = 2_048
 ROW_COST = 12
 
 
-def fingerprint(text: str, width: int = WORDS, seed: int = SEED) -> int:
+def shingles(text: str, width: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """Hashes of the text's runs of `width` words, in order; a shorter text is one run, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[s:e], seed) for s, e in zip(starts[: -width + 1].tolist(), ends[width - 1 :].tolist())]
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], "<u8")
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[s:e], seed) for s, e in zip(starts[: -width + 1].tolist(), ends[width - 1 :].tolist())], "<u8")
+
+
+def fingerprint(text: str, width: int = WORDS, seed: int = SEED) -> int:
+    h = shingles(text, width, seed)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
-    h = np.array(hashes, "<u8")
     for k in range(0, len(h), 1 << 16):  # bounded memory for very long texts
         ones += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
@@ -238,9 +251,81 @@ def query(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+@functools.cache
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.Generator(np.random.PCG64(7))
+    return draw.integers(0, 1 << 64, BANDS * DEPTH, np.uint64), draw.integers(0, 1 << 64, BANDS * DEPTH, np.uint64) | np.uint64(1)
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """Of a set of shingles one key a band: a hash of the band's DEPTH minima. Sets of similarity s agree in a band with probability s ** DEPTH."""
+    flip, times = _mixers()
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(found), 256):  # few enough for the CPU's cache
+        x = (found[k : k + 256, None] ^ flip) * times
+        least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, DEPTH).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def _marks(at: int):
+    """Of every text the hash of its set of shingles, and the keys of its bands."""
+
+    def run(batch):
+        marks, keys = [], []
+        for text in texts_of(batch.column(at)):
+            found = np.unique(shingles(text, NEAR_WORDS))
+            marks.append(int(np.array(xxhash.xxh64_intdigest(found.tobytes(), SEED), np.uint64).view(np.int64)))
+            keys.append(bands(found) if len(found) else [])
+        return {"_stowage_set": marks, "_stowage_bands": keys}
+
+    return run
+
+
+def _verify(batches):
+    for batch in batches:
+        sets = [[np.unique(shingles(t, NEAR_WORDS)) for t in texts_of(batch.column(c))] for c in (2, 3)]
+        hit = np.array([similarity(x, y) >= NEAR for x, y in zip(*sets)], bool)
+        yield rows("a long, b long", {c: batch.column(k).to_numpy()[hit] for k, c in enumerate("ab")})
+
+
+def near_links(marked: DataFrame, text: str = "text") -> DataFrame:
+    """marked(_stowage_set, _stowage_bands, text) to (a, b): sets, links whose components are those of all verified pairs that share a band."""
+    texts = marked.groupBy(F.col("_stowage_set").alias("mark")).agg(F.first(text).alias("text"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = Kept(pairs, "near-pairs").df
+        asked = Kept(texts.join(pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct(), "mark", "left_semi"), "near-texts").df
+        full = pairs.join(asked.toDF("a", "ta"), "a").join(asked.toDF("b", "tb"), "b")
+        return Kept(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "near-links").df
+
+    lists = marked.select(F.col("_stowage_set").alias("mark"), F.explode("_stowage_bands").alias("key")).distinct()
+    least = lists.groupBy("key").agg(F.min("mark").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lists = Kept(lists.join(least, "key"), "near-lists").df
+    # a list's members are held against its least one first; after that only against those of other components
+    first = verified(lists.select("a", F.col("mark").alias("b")).where("a <> b").distinct())
+    tree = stars(first).df.select(F.col("a").alias("mark"), F.col("b").alias("root"))
+    member = lists.select("key", "mark").join(tree, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    member = Kept(member.join(mixed, "key"), "near-members").df
+    other = member.toDF("key", "b", "other")
+    return first.union(verified(member.join(other, "key").where("mark < b and root <> other").select(F.col("mark").alias("a"), "b").distinct()))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; of rows that repeat that id, one."""
-    stays = components(docs).where("id = component").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(stays, "doc_id")
-    nulls = docs.where("doc_id is null")
-    return kept.dropDuplicates(["doc_id"]).unionByName(nulls).select(*docs.columns)
+    """Of near copies (similarity of NEAR or more, directly or over others) the row with the smallest id stays, then the
+    one with the least hash; a row with a null id stays if no other in its group has an id."""
+    marked = Kept(map_batches(docs, "_stowage_set long, _stowage_bands array<long>", _marks(docs.columns.index("text"))), "near-marks").df
+    tree = stars(near_links(marked)).df.select(F.col("a").alias("_stowage_set"), F.col("b").alias("_stowage_root"))
+    grouped = marked.join(tree, "_stowage_set", "left").withColumn("_stowage_root", F.coalesce("_stowage_root", "_stowage_set"))
+    order = Window.partitionBy("_stowage_root").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns))
+    return grouped.withColumn("_stowage_rank", F.row_number().over(order)).where("_stowage_rank = 1").select(*docs.columns)
