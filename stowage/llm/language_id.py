@@ -4,6 +4,8 @@ Texts are lower-cased and runs of non-letters become one space. N-grams of 1 to
 cells. The model is one log-probability row per language; its size depends on the number of languages, never on the
 corpus, so it is broadcast. A batch is scored as sparse rows: bucket numbers with document offsets.
 
+The pipeline's stage also rejects on the model's evidence, the mean log-probability per n-gram under the best language.
+
 Defined cases: a null text, or one without a letter, is `und` with score 0. Rows with null language or without a letter
 teach nothing. With nothing learned every text is `und`. Equal scores go to the language first in alphabetical order.
 """
@@ -25,6 +27,8 @@ ORDERS = (1, 2, 3)
 PER_LANGUAGE = 5_000
 #: Characters handled at once, to bound memory; a longer text stands alone.
 CHUNK = 1 << 20
+#: The stage's least evidence (see floors) and the allowance for texts of few n-grams.
+SPREADS, LEAST_SPREAD, SHORT = 16, 0.15, 6.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,9 +72,12 @@ def _sum_by(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(texts: list[str], langs: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[list[str], list[float]]:
+def score_texts(texts: list[str], langs: list[str], logp: np.ndarray, prior: np.ndarray) -> tuple[list[str], list[float], list[float]]:
+    """Of each text its language, the posterior probability, and the evidence: the mean log-probability of its n-grams
+    under that language, with an allowance of SHORT over the root of their number."""
     pred: list[str] = []
     score: list[float] = []
+    evidence: list[float] = []
     for s, e in slices([len(t) + 2 for t in texts], CHUNK):
         n_letters, found, _ = ngrams(texts[s:e])
         total = np.tile(prior, (e - s, 1))
@@ -81,10 +88,13 @@ def score_texts(texts: list[str], langs: list[str], logp: np.ndarray, prior: np.
         if langs:
             p = np.exp(total - total.max(axis=1, keepdims=True))
             sure = 1 / p.sum(axis=1)
+            n = np.maximum(1, sum(np.diff(offsets) for _, offsets in found))
+            mean = (total.max(axis=1) - prior[best]) / n + SHORT / np.sqrt(n)
         known = (n_letters > 0) & bool(langs)
         pred += [langs[b] if k else "und" for b, k in zip(best, known)]
         score += [float(sure[i]) if k else 0.0 for i, k in enumerate(known)]
-    return pred, score
+        evidence += [float(mean[i]) if k else 0.0 for i, k in enumerate(known)]
+    return pred, score, evidence
 
 
 class Model:
@@ -134,17 +144,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id
     return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(weight / weight.sum()))
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """Adds the predicted language and its posterior probability to every row."""
+def predict(df: DataFrame, model: Model, text: str = "text", into: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and its posterior probability to every row, and the evidence if `into` has a third name."""
     shared = df.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.prior))
     at = df.columns.index(text)
 
     def run(batch):
         langs, logp, prior = shared.value
-        pred, score = score_texts(texts_of(batch.column(at)), langs, logp, prior)
-        return {into[0]: pred, into[1]: score}
+        return dict(zip(into, score_texts(texts_of(batch.column(at)), langs, logp, prior)))
 
-    return map_batches(df, f"{into[0]} string, {into[1]} double", run)
+    return map_batches(df, ", ".join(f"{name} {kind}" for name, kind in zip(into, ("string", "double", "double"))), run)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -154,8 +163,25 @@ def query(spark, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", (~train).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def floors(df: DataFrame, model: Model, text: str = "text") -> dict[str, float]:
+    """The least evidence of each language, from all rows of df: SPREADS times the distance from median to lower quartile
+    (LEAST_SPREAD at least) below the median, so that less than a quarter of a language's rows may be junk. A language that no row
+    is predicted as has the lowest of the floors."""
+    names = ("_stowage_lang_pred", "_stowage_lang_score", "_stowage_lang_evidence")
+    scored = predict(df.select(text), model, text, names).where(F.col(names[0]) != "und")
+    found = scored.groupBy(names[0]).agg(F.percentile_approx(names[2], [0.5, 0.25], 10_000)).collect()  # a row a language
+    made = {lang: mid - SPREADS * max(LEAST_SPREAD, mid - low) for lang, (mid, low) in found}
+    return {lang: made.get(lang, min(made.values())) for lang in model.langs} if made else {}
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no language is found; clean documents of any learned language stay."""
-    model = fit(docs.where(is_train("doc_id", 3, 1)))
-    names = ("_stowage_lang_pred", "_stowage_lang_score")
-    return predict(docs, model, into=names).where(F.col(names[0]) != "und").select(*docs.columns)
+    """Rejects documents without a letter and those whose evidence for their best language is below that language's floor:
+    letter junk and text in no learned language. Clean documents of any learned language stay."""
+    train = docs.where(is_train("doc_id", 3, 1))
+    model = fit(train)
+    names = ("_stowage_lang_pred", "_stowage_lang_score", "_stowage_lang_evidence")
+    least = floors(train, model)
+    if not least:
+        return docs.limit(0)  # nothing learned, every text is `und`
+    floor = F.create_map(*[F.lit(x) for item in least.items() for x in item])
+    return predict(docs, model, into=names).where((F.col(names[0]) != "und") & (F.col(names[2]) >= floor[F.col(names[0])])).select(*docs.columns)
