@@ -121,42 +121,136 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
     ],
 )
 def test_main_text(body, want):
-    assert html_text.main_text(html_text.Page(1, "u", "/p", "h", PAGE % body)) == want
+    assert html_text.main_text(html_text.Page(PAGE % body)) == want
 
 
 def test_page_in_a_form():
-    page = html_text.Page(1, "u", "/p", "h", "<body><form id=all><div class=menu>m</div><p>a text of ten words or more is taken as prose</p><button>send</button></form></body>")
+    page = html_text.Page("<body><form id=all><div class=menu>m</div><p>a text of ten words or more is taken as prose</p><button>send</button></form></body>")
     assert html_text.main_text(page) == "a text of ten words or more is taken as prose"
 
 
 def test_differencing():
-    page = lambda body, path: html_text.Page(1, "u", path, "h", f"<body><div>Shared head</div><p>{body}</p><p>{body} more</p><div>Shared foot</div></body>")
-    a, b = page("the text of page a", "/x/1"), page("the text of page b", "/x/2")
-    assert html_text.main_text(a, None, b) == "the text of page a the text of page a more"
-    assert html_text.main_text(a, a, b) == "the text of page a the text of page a more"  # the copy is passed over
-    assert html_text.main_text(a, a, a) == "Shared head the text of page a the text of page a more Shared foot"
-    assert html_text.main_text(a) == "Shared head the text of page a the text of page a more Shared foot"
+    def lines(body, path):
+        return html_text.Lines.of("h", path, ["Shared head", f"{body} of some length", f"{body} more of it", "Shared foot"])
 
+    a, b, c = lines("the text of page a", "/x/1"), lines("the text of page b", "/x/2"), lines("the text of page c", "/y/2")
+    assert html_text.partner_lines(a, None, b) == html_text.partner_lines(b, a, c) == [0, 3]
+    assert html_text.partner_lines(a, a, b) == [0, 3]  # the copy is passed over
+    assert html_text.partner_lines(a, a, a) == html_text.partner_lines(a, None, None) == []
+    page = html_text.Page("<div>Shared head</div><p>x</p><div>Shared foot</div>")
+    assert html_text.main_text(page, [0, 2]) == "x" and html_text.main_text(page) == "Shared head x Shared foot"
 
-@settings(deadline=None, max_examples=80)
-@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12))
-def test_shared_is_a_longest_common_subsequence(a, b):
-    runs = lambda x: [c for i, c in enumerate(x) if not i or x[i - 1] != c]
-    ra, rb = runs(a), runs(b)
-    table = [[0] * (len(rb) + 1) for _ in range(len(ra) + 1)]
-    for i, x in enumerate(ra):
-        for j, y in enumerate(rb):
+
+def lcs_length(a, b) -> int:
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
             table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-    got = html_text.shared(a, b)
-    kept = [k for k, i in enumerate(j for j in range(len(a)) if not j or a[j] != a[j - 1]) if i in got]
-    assert len(kept) == table[-1][-1]
+    return table[-1][-1]
+
+
+@settings(deadline=None, max_examples=80)
+@given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcd"), max_size=12), st.sampled_from([1, 1 << 20]))
+def test_align_is_a_longest_common_subsequence(a, b, pairs):
+    most, html_text.PAIRS = html_text.PAIRS, pairs
+    try:
+        got = html_text.align(a, b)
+    finally:
+        html_text.PAIRS = most
+    assert len(got) == lcs_length(a, b) and sorted(set(got)) == got
+    left = iter(b)
+    assert all(a[i] in left for i in got)  # in this order in b
+
+
+def test_lines_that_repeat_very_often_are_aligned():
+    a, b = list("ab" * 3000), list("ba" * 3000)
+    assert len(html_text.align(a, b)) == 5999
+
+
+def html_brute(pages: list[dict]) -> dict:
+    """Texts by (page_id, url, html): all pages of a host in one list, walked past copies one by one."""
+    order = []
+    for r in pages:
+        url, html = r["url"] or "", r["html"] or ""
+        scheme, found, rest = url.partition("://")
+        host, path = "", url
+        if found and scheme and scheme[0].isascii() and scheme[0].isalpha() and all(c.isascii() and (c.isalnum() or c in "+.-") for c in scheme):
+            cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+            host, path = rest[:cut].lower(), rest[cut:]
+        path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+        digest = hashlib.md5(f"{url}\n{html}".encode()).digest()
+        page = html_text.Page(html)
+        order.append(((host, path, (r["page_id"] is not None, r["page_id"] or 0), digest), html_text.Lines.of(host, path, page.lines), page, r))
+    order.sort(key=lambda x: x[0])
+    out = {}
+    for i, (_, lines, page, r) in enumerate(order):
+        ends = []
+        for step in (-1, 1):
+            j = i
+            while 0 <= j + step < len(order) and order[j + step][1].copies(order[j][1]):
+                j += step
+            j += step
+            ends.append(order[j][1] if 0 <= j < len(order) else None)
+        drops = html_text.partner_lines(lines, *ends)
+        out[r["page_id"], r["url"], r["html"]] = html_text.main_text(page, drops)
+    return out
+
+
+def planted_pages(n: int) -> list[tuple]:
+    """Pages without marks: a third on one host, templates by host, groups of exact and of near copies, rows that repeat, nulls."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 8)))
+    say = lambda k: " ".join(word() for _ in range(k))
+    templates = [[say(4) for _ in range(8)] for _ in range(6)]
+    rows_, last = [], None
+    for i in range(n):
+        h = 0 if draw.random() < 0.34 else draw.randint(1, 5)
+        body = [say(draw.randint(3, 30)) for _ in range(draw.randint(1, 6))]
+        if last and draw.random() < 0.35:
+            h, body = last[0], list(last[1])
+            if draw.random() < 0.5:
+                body[draw.randrange(len(body))] = say(6)
+        last = h, body
+        shown = [x for x in templates[h] if draw.random() < 0.9]
+        html = "<body>" + "".join(f"<div>{x}</div>" for x in shown[:4]) + "".join(f"<p>{x}</p>" for x in body) + "".join(f"<div>{x}</div>" for x in shown[4:])
+        rows_.append((i, f"http://h{h}/{draw.choice('ab')}/{draw.randint(1, 60)}", html))
+    rows_ += [(n + i, "http://h0/a/30", rows_[0][2]) for i in range(60)] + rows_[:5]  # a large group, and rows that repeat
+    return rows_ + [(None, None, None), (None, "http://h1/a/3", "<p>no id</p>"), (n + 100, None, "<p>no url</p>")]
+
+
+@pytest.mark.parametrize("partitions", [1, 16, 128])
+def test_differencing_is_that_of_all_pages_at_once(spark, partitions):
+    """Whatever the number of ranges; also with fewer pages than ranges."""
+    made = planted_pages(400)
+    want = html_brute([dict(zip(("page_id", "url", "html"), r)) for r in made])
+    assert sum(html_text.main_text(html_text.Page(r[2])) != want[r] for r in made) > 0.7 * len(made)  # shared lines went
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(made, "page_id long, url string, html string").repartition(3)
+        rows_ = rows_of(html_text.extract(df))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    by_id = {r[0]: want[r] for r in made if r[0] is not None}
+    assert len(rows_) == len(made) and all(r["text"] == by_id[r["page_id"]] for r in rows_ if r["page_id"] is not None)
+    assert sorted(r["text"] for r in rows_ if r["page_id"] is None) == sorted(want[r] for r in made if r[0] is None)
 
 
 def test_pages(spark):
-    rows = {r["page_id"]: r for r in rows_of(html_text.query(spark, DATA))}
-    pages = pq.read_table(f"{DATA}/pages.parquet").to_pylist()
-    assert len(rows) == len(pages) and all(r["n_chars"] == len(r["text"]) and "<" not in r["text"][:1] for r in rows.values())
-    assert all(r["text"] for r in rows.values())
+    """All pages, and the same pages with their marks taken off, so that differencing decides."""
+    plain = lambda h: h.replace("<article", "<section").replace("</article", "</section").replace("<nav", "<div").replace("</nav", "</div").replace("<footer", "<div").replace("</footer", "</div").replace('class="ad"', "")
+    for sf in (DATA, "/root/testdata/sf0.01"):
+        pages = pq.read_table(f"{sf}/pages.parquet").to_pylist()
+        want = html_brute(pages)
+        rows_ = rows_of(html_text.query(spark, sf))
+        assert len(rows_) == len(pages) and {r["page_id"]: r["text"] for r in rows_} == {k[0]: t for k, t in want.items()}
+        assert all(r["n_chars"] == len(r["text"]) and r["text"] for r in rows_)
+    bare = [{**r, "html": plain(r["html"])} for r in pages]
+    want = html_brute(bare)
+    got = rows_of(html_text.extract(spark.createDataFrame([(r["page_id"], r["url"], r["html"]) for r in bare], "page_id long, url string, html string")))
+    assert {r["page_id"]: r["text"] for r in got} == {k[0]: t for k, t in want.items()}
 
 
 def test_odd_pages(spark):
