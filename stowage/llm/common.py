@@ -1,7 +1,8 @@
 """What the operators share: batch mapping and block packing.
 
 Every operator takes a DataFrame and column names. Columns an operator does not need are pruned before any Python
-code runs; where rows pass through, a result column replaces an input column of the same name.
+code runs; where rows pass through, a result column replaces an input column of the same name, as the session compares
+names. Columns that operators add for their own use get names that the input has not.
 """
 
 from __future__ import annotations
@@ -12,28 +13,58 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shared import Kept  # noqa: F401  for the operators
 
 
+def folded(df: DataFrame) -> Callable[[str], str]:
+    """What two names must have in common to be one to the session."""
+    return (lambda name: name) if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list:
+    """All columns of df by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row_hash(df: DataFrame, seed: int):
+    """A hash of all columns but those that hold maps, which have no order. xxhash64 passes over nulls, so their places are added."""
+    columns = [c for c, f in zip(own_columns(df), df.schema) if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    return F.xxhash64(F.lit(seed), F.concat_ws(",", *[c.isNull().cast("string") for c in columns]), *columns)
+
+
 def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict], setup: Callable[[], object] | None = None) -> DataFrame:
     """Adds columns to every row. fn(batch) or fn(batch, setup()) gives the added columns; they replace columns of the same name."""
-    new = T._parse_datatype_string(added)
-    names = {f.name for f in new}
-    rest = [f for f in df.schema if f.name not in names]
+    new, same = T._parse_datatype_string(added), folded(df)
+    names = {same(f.name) for f in new}
+    kept = [i for i, f in enumerate(df.schema) if same(f.name) not in names]
+    rest = [df.schema[i] for i in kept]
     schema = T.StructType([*rest, *new])
-    kept = [f.name for f in rest]
     target = arrow_schema(added)
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])  # mapInArrow refuses some names
+    names_in = inner.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = (setup(),) if setup else ()
         for batch in batches:
             if batch.num_rows:
                 made = fn(batch, *state)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *(pa.array(made[f.name], type=f.type) for f in target)], names=[*kept, *target.names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(made[f.name], type=f.type) for f in target)], names=names_in)
 
-    return df.mapInArrow(run, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
@@ -96,6 +127,4 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def is_train(doc_id, modulus: int, held: int):
     """Column: the row may be learned from, as crc32(doc_id as text) mod modulus is not `held` (a null id is never held out)."""
-    from pyspark.sql import functions as F
-
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus != held, F.lit(True))

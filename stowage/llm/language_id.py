@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import expand, frame, is_train, map_batches, rows, slices, squeeze, texts_of, unframe
+from .common import expand, frame, free, is_train, map_batches, own_columns, rows, slices, squeeze, texts_of, unframe
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -167,21 +167,30 @@ def floors(df: DataFrame, model: Model, text: str = "text") -> dict[str, float]:
     """The least evidence of each language, from all rows of df: SPREADS times the distance from median to lower quartile
     (LEAST_SPREAD at least) below the median, so that less than a quarter of a language's rows may be junk. A language that no row
     is predicted as has the lowest of the floors."""
-    names = ("_stowage_lang_pred", "_stowage_lang_score", "_stowage_lang_evidence")
-    scored = predict(df.select(text), model, text, names).where(F.col(names[0]) != "und")
-    found = scored.groupBy(names[0]).agg(F.percentile_approx(names[2], [0.5, 0.25], 10_000)).collect()  # a row a language
+    source = df.select(F.col(text).alias("text"))
+    scored = predict(source, model, into=("lang", "score", "evidence")).where("lang <> 'und'")
+    found = scored.groupBy("lang").agg(F.percentile_approx("evidence", [0.5, 0.25], 10_000)).collect()  # a row a learned language
     made = {lang: mid - SPREADS * max(LEAST_SPREAD, mid - low) for lang, (mid, low) in found}
     return {lang: made.get(lang, min(made.values())) for lang in model.langs} if made else {}
 
 
+def known(docs: DataFrame, train: DataFrame, text: str = "text", languages: tuple[str, ...] | None = None, min_score: float = 0.0) -> DataFrame:
+    """The rows of docs in one of `languages` (any learned one if None), with a posterior probability of min_score or more
+    and evidence that reaches the language's floor. Texts without a letter go; so do all if nothing was learned from train."""
+    model = fit(train, text)
+    least = floors(train, model, text)
+    if not least:
+        return docs.where("false")
+    names = free(docs, "lang_pred", "lang_score", "lang_evidence")
+    lang, score, evidence = (F.col(n) for n in names)
+    floor = F.create_map(*[F.lit(x) for item in least.items() for x in item])
+    good = (lang != "und") & (score >= min_score) & (evidence >= floor[lang])
+    if languages is not None:
+        good &= lang.isin(*languages)
+    return predict(docs, model, text, tuple(names)).where(good).select(*own_columns(docs))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose evidence for their best language is below that language's floor:
     letter junk and text in no learned language. Clean documents of any learned language stay."""
-    train = docs.where(is_train("doc_id", 3, 1))
-    model = fit(train)
-    names = ("_stowage_lang_pred", "_stowage_lang_score", "_stowage_lang_evidence")
-    least = floors(train, model)
-    if not least:
-        return docs.limit(0)  # nothing learned, every text is `und`
-    floor = F.create_map(*[F.lit(x) for item in least.items() for x in item])
-    return predict(docs, model, into=names).where((F.col(names[0]) != "und") & (F.col(names[2]) >= floor[F.col(names[0])])).select(*docs.columns)
+    return known(docs, docs.where(is_train("doc_id", 3, 1)))

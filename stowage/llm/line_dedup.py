@@ -21,15 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, expand, frame, map_batches, rows, slices, squeeze, table, texts_of, unframe
+from .common import Kept, expand, folded, frame, free, map_batches, own_columns, rows, slices, squeeze, table, texts_of, unframe
 from .mph import PerfectHash
 
 MIN_DOCS = 10
 #: Distinct keys that a shard is meant to hold, and bytes of text that a block is meant to hold.
 SHARD_KEYS = 250_000
 BLOCK_BYTES = 8 << 20
-#: Columns that pass through operators; no table is expected to have them.
-MARK, SIZE, DROPS = "_stowage_mark", "_stowage_size", "_stowage_drops"
 BLANK = b" \t\n\v\f\r"
 
 
@@ -139,18 +137,17 @@ def _answer(shards: int):
     return run
 
 
-def common_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """df with one more column DROPS: hashes of the document's lines that at least min_docs documents hold; null if there are none."""
-    size = F.coalesce(F.length(text), F.lit(-1)).cast("long")
-    marked = df.withColumn(MARK, F.xxhash64(F.col(id), F.col(text))).withColumn(SIZE, size)
-    blocks = Kept(marked.select(MARK, SIZE, text).mapInArrow(_blocks, "block long, n_keys long, payload binary"), "line-blocks").df
+def common_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, into: str = "drops") -> DataFrame:
+    """df with one more column `into`: hashes of the document's lines that at least min_docs documents hold; null if there are none."""
+    a, b = free(df, "line_mark", "line_size")
+    marked = df.withColumn(a, F.xxhash64(F.col(id), F.col(text))).withColumn(b, F.coalesce(F.length(text), F.lit(-1)).cast("long"))
+    blocks = Kept(marked.select(a, b, text).mapInArrow(_blocks, "block long, n_keys long, payload binary"), "line-blocks").df
     shards = max(8, math.ceil((blocks.agg(F.sum("n_keys")).first()[0] or 0) / SHARD_KEYS))
     dealt = blocks.select("block", "payload").mapInArrow(_deal(shards), "shard int, block long, payload binary")
     answers = dealt.groupBy("shard").applyInArrow(_probe(min_docs), "block long, shard int, payload binary")
     drops = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(shards), "mark long, size long, drops array<long>")
     once = Kept(drops.groupBy("mark", "size").agg(F.first("drops").alias("drops")), "line-drops").df
-    joined = marked.join(once.hint("shuffle_hash").withColumnsRenamed({"mark": MARK, "size": SIZE, "drops": DROPS}), [MARK, SIZE], "left")
-    return joined.drop(MARK, SIZE)
+    return marked.join(once.hint("shuffle_hash").withColumnsRenamed({"mark": a, "size": b, "drops": into}), [a, b], "left").drop(a, b)
 
 
 def without(text: str, drops: list[int] | None) -> tuple[int, int, str]:
@@ -166,14 +163,15 @@ def without(text: str, drops: list[int] | None) -> tuple[int, int, str]:
 
 def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, into: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
     """df with the kept text, the number of lines and of dropped lines."""
-    found = common_lines(df, id, text, min_docs)
-    at, drops = found.columns.index(text), found.columns.index(DROPS)
+    (own,) = free(df, "line_drops")
+    found = common_lines(df, id, text, min_docs, own)
+    at, drops = found.columns.index(text), found.columns.index(own)
 
     def run(batch):
         got = [without(t, d) for t, d in zip(texts_of(batch.column(at)), batch.column(drops).to_pylist())]
         return {into[0]: [g[2] for g in got], into[1]: [g[0] for g in got], into[2]: [g[1] for g in got]}
 
-    return map_batches(found, f"{into[0]} string, {into[1]} long, {into[2]} long", run).drop(DROPS)
+    return map_batches(found, f"{into[0]} string, {into[1]} long, {into[2]} long", run).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -184,13 +182,15 @@ def query(spark, sf_dir: str) -> DataFrame:
         got = [without(t, d) for t, d in zip(texts_of(batch.column(1)), batch.column(2).to_pylist())]
         return {"n_lines": [g[0] for g in got], "n_dropped": [g[1] for g in got], "kept_sha256": [hashlib.sha256(g[2].encode("utf-8", "surrogatepass")).hexdigest() for g in got]}
 
-    return map_batches(found.select("doc_id", "text", DROPS), "n_lines long, n_dropped long, kept_sha256 string", run).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return map_batches(found.select("doc_id", "text", "drops"), "n_lines long, n_dropped long, kept_sha256 string", run).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines in ten or more documents go; text and n_chars follow."""
-    kept, _, gone = names = ("_stowage_kept", "_stowage_lines", "_stowage_gone")
-    found = dedup(docs, into=names)
-    changed = F.col(gone) > 0
-    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text")), "n_chars": F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))}
-    return found.withColumns(new).select(*docs.columns)
+    kept, _, gone = names = free(docs, "kept_text", "n_lines", "n_dropped")
+    found = dedup(docs, into=tuple(names))
+    changed, same = F.col(gone) > 0, folded(docs)
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text"))}
+    if "n_chars" in map(same, docs.columns):
+        new["n_chars"] = F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns(new).select(*own_columns(docs))

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, expand, is_train, map_batches, rows, slices, squeeze, texts_of
+from .common import Kept, expand, free, is_train, map_batches, own_columns, rows, slices, squeeze, texts_of
 
 WORDS, SHAPES = 1 << 15, 1 << 10
 WORD_DIM, SHAPE_DIM = 32, 48
@@ -233,5 +233,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier predicts to be of label 0."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    names = ("_stowage_quality_score", "_stowage_quality_predicted")
-    return predict(docs, model, into=names).where(F.col(names[1]) == 1).select(*docs.columns)
+    names = free(docs, "quality_score", "quality_predicted")
+    return predict(docs, model, into=tuple(names)).where(F.col(names[1]) == 1).select(*own_columns(docs))

@@ -25,10 +25,10 @@ from math import comb
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, map_batches, rows, texts_of
+from .common import Kept, expand, free, map_batches, own_columns, row_hash, rows, squeeze, texts_of
 from .components import local_stars, stars
 
 TAU = 4
@@ -38,6 +38,8 @@ SEED = 42
 NEAR, NEAR_WORDS = 0.8, 5
 #: MinHash bands and minima in each. A pair at NEAR shares no band with probability (1 - NEAR ** DEPTH) ** BANDS, 3e-6.
 BANDS, DEPTH = 32, 5
+#: Bits kept of a shingle's hash where sets are compared.
+SET_BITS = 48
 #: Bound of the sample that the parts are fitted to.
 SAMPLE = 20_000
 #: A list longer than this is cut into chunks of this many.
@@ -277,7 +279,7 @@ def bands(found: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _marks(at: int):
+def _sketches(at: int, names: list[str]):
     """Of every text the hash of its set of shingles, and the keys of its bands."""
 
     def run(batch):
@@ -286,31 +288,35 @@ def _marks(at: int):
             found = np.unique(shingles(text, NEAR_WORDS))
             marks.append(int(np.array(xxhash.xxh64_intdigest(found.tobytes(), SEED), np.uint64).view(np.int64)))
             keys.append(bands(found) if len(found) else [])
-        return {"_stowage_set": marks, "_stowage_bands": keys}
+        return dict(zip(names, (marks, keys)))
 
     return run
 
 
+def _sets(batches):
+    """(mark, text) to (mark, set): the set's hashes, SET_BITS of each, sorted and compressed."""
+    for batch in batches:
+        found = [np.unique(shingles(t, NEAR_WORDS) >> np.uint64(64 - SET_BITS)) for t in texts_of(batch.column(1))]
+        yield rows("mark long, set binary", {"mark": batch.column(0), "set": [squeeze(np.diff(x, prepend=np.uint64(0))) for x in found]})
+
+
 def _verify(batches):
     for batch in batches:
-        sets = [[np.unique(shingles(t, NEAR_WORDS)) for t in texts_of(batch.column(c))] for c in (2, 3)]
-        hit = np.array([similarity(x, y) >= NEAR for x, y in zip(*sets)], bool)
-        yield rows("a long, b long", {c: batch.column(k).to_numpy()[hit] for k, c in enumerate("ab")})
+        for s in range(0, batch.num_rows, 1_024):
+            part = batch.slice(s, 1_024)
+            sets = [[np.cumsum(expand(x.as_py(), "<u8"), dtype=np.uint64) for x in part.column(c)] for c in (2, 3)]
+            hit = np.array([similarity(x, y) >= NEAR for x, y in zip(*sets)], bool)
+            yield rows("a long, b long", {c: part.column(k).to_numpy()[hit] for k, c in enumerate("ab")})
 
 
-def near_links(marked: DataFrame, text: str = "text") -> DataFrame:
-    """marked(_stowage_set, _stowage_bands, text) to (a, b): sets, links whose components are those of all verified pairs that share a band."""
-    texts = marked.groupBy(F.col("_stowage_set").alias("mark")).agg(F.first(text).alias("text"))
+def near_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """lists(key, mark, a): members of bands that more than one has, a the least of them; sets(mark, set). Gives (a, b): links
+    whose components are those of all verified pairs that share a band."""
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = Kept(pairs, "near-pairs").df
-        asked = Kept(texts.join(pairs.select(F.col("a").alias("mark")).union(pairs.select("b")).distinct(), "mark", "left_semi"), "near-texts").df
-        full = pairs.join(asked.toDF("a", "ta"), "a").join(asked.toDF("b", "tb"), "b")
-        return Kept(full.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long"), "near-links").df
+        full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        return Kept(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "near-links").df
 
-    lists = marked.select(F.col("_stowage_set").alias("mark"), F.explode("_stowage_bands").alias("key")).distinct()
-    least = lists.groupBy("key").agg(F.min("mark").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    lists = Kept(lists.join(least, "key"), "near-lists").df
     # a list's members are held against its least one first; after that only against those of other components
     first = verified(lists.select("a", F.col("mark").alias("b")).where("a <> b").distinct())
     tree = stars(first).df.select(F.col("a").alias("mark"), F.col("b").alias("root"))
@@ -318,14 +324,41 @@ def near_links(marked: DataFrame, text: str = "text") -> DataFrame:
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     member = Kept(member.join(mixed, "key"), "near-members").df
     other = member.toDF("key", "b", "other")
-    return first.union(verified(member.join(other, "key").where("mark < b and root <> other").select(F.col("mark").alias("a"), "b").distinct()))
+    # pairs with the least member were held against each other already
+    rest = member.join(other, "key").where("mark < b and root <> other").select(F.col("mark").alias("a"), "b").distinct()
+    rest = rest.join(lists.select("a", F.col("mark").alias("b")).distinct(), ["a", "b"], "left_anti")
+    return first.union(verified(rest))
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each group of near copies (similarity of NEAR or more, directly or over others) one row: that of the smallest id,
+    then of the least hash; a row with a null id stays if no other in its group has an id. Texts without words are copies of
+    each other. No group is ever gathered: rows are compared by minima, which are taken before any shuffle, and the texts
+    themselves are shuffled twice, once for the sets to verify and once to take out those that go."""
+    names = free(docs, "near_one", "near_two", "near_mark", "near_bands")
+    one, two, mark, keys = names
+    own = docs.withColumns({one: row_hash(docs, 1), two: row_hash(docs, 2)})  # 128 bits name a row
+    source = own.select(one, two, F.col(id).alias("id"), F.col(text).alias("text")).toDF("one", "two", "id", "text")
+    sketched = map_batches(source, "mark long, bands array<long>", _sketches(3, ["mark", "bands"]))
+    marked = Kept(sketched.drop("text"), "near-marks").df
+    sets = Kept(marked.groupBy("mark").agg(F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), "near-sets").df  # of equal sets one
+    lists = sets.select("mark", F.explode("bands").alias("key"))
+    least = lists.groupBy("key").agg(F.min("mark").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    lists = Kept(lists.join(least, "key"), "near-lists").df
+    asked = sets.join(lists.select("mark").distinct(), "mark", "left_semi").select("mark", "row.one", "row.two")
+    hashed = source.select("one", "two", "text").join(asked, ["one", "two"]).select("mark", "text").mapInArrow(_sets, "mark long, set binary")
+    verify = Kept(hashed.groupBy("mark").agg(F.first("set").alias("set")), "near-shingles").df  # a row that repeats comes once
+    tree = stars(near_links(lists, verify)).df.toDF("mark", "root")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "one", "two")
+    best = marked.groupBy("mark").agg(F.min(place).alias("best")).join(tree, "mark", "left")
+    stays = best.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select("best.one", "best.two")
+    goes = marked.select("one", "two").distinct().join(stays, ["one", "two"], "left_anti")
+    left = own.join(Kept(goes, "near-goes").df.toDF(one, two), [one, two], "left_anti")
+    if not marked.groupBy("one", "two").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([one, two])
+    return left.select(*own_columns(docs))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies (similarity of NEAR or more, directly or over others) the row with the smallest id stays, then the
-    one with the least hash; a row with a null id stays if no other in its group has an id."""
-    marked = Kept(map_batches(docs, "_stowage_set long, _stowage_bands array<long>", _marks(docs.columns.index("text"))), "near-marks").df
-    tree = stars(near_links(marked)).df.select(F.col("a").alias("_stowage_set"), F.col("b").alias("_stowage_root"))
-    grouped = marked.join(tree, "_stowage_set", "left").withColumn("_stowage_root", F.coalesce("_stowage_root", "_stowage_set"))
-    order = Window.partitionBy("_stowage_root").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.xxhash64(*docs.columns))
-    return grouped.withColumn("_stowage_rank", F.row_number().over(order)).where("_stowage_rank = 1").select(*docs.columns)
+    """One document of each group of near copies stays."""
+    return near_copies(docs)

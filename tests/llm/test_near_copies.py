@@ -7,6 +7,7 @@ import random
 import numpy as np
 
 from stowage.llm import simhash
+from stowage.llm.common import row_hash
 
 from .data import rows_of
 
@@ -55,3 +56,11 @@ def test_bands_meet_at_the_bound():
     for _ in range(300):
         x = draw.integers(0, 1 << 64, 110, np.uint64)
         assert (simhash.bands(x[:100]) == simhash.bands(x[11:])).any()  # 89 of 110 are shared
+
+
+def test_rows_that_differ_in_where_a_null_is_are_two(spark):
+    docs = spark.createDataFrame([(1, "some text of its own here", "x", None), (1, "some text of its own here", None, "x"), (2, "another one, of words nobody else has", "x", None), (2, "another one, of words nobody else has", "x", None)], "doc_id long, text string, a string, b string")
+    assert docs.select(row_hash(docs, 1).alias("h")).distinct().count() == 3
+    got = rows_of(simhash.near_copies(docs))
+    assert sorted(r["doc_id"] for r in got) == [1, 2]
+    assert simhash.near_copies(docs.limit(0)).count() == 0
