@@ -1,19 +1,24 @@
 """Best-fit packing of tokenised documents into sequences of at most SEQ tokens.
 
 The number of pieces of each length (at most SEQ numbers, whatever the corpus) goes to the driver. There the
-configuration linear program - how often to use each pattern of lengths that fits a sequence - is solved by
-multiplicative weights: lengths that are covered least gain weight, and a knapsack dynamic program prices the best
-pattern under those weights. Shares of the mixture are rounded down, best fit decreasing packs what each leaves, and the
-rounding with the fewest sequences is kept. The plan is a table of runs: pieces of a length, numbered
-by rank, go to sequences and offsets by arithmetic; only the ranks are computed over the pieces.
-
-Defined cases: a null text is empty and gives one piece, the end token. Rows are documents of their own, also when they
-repeat or their id is null.
+configuration linear program - how often to use each pattern of lengths that fits a sequence, so that every piece is
+covered - is solved by multiplicative weights. A length's weight falls with the share of it that is covered; a knapsack
+dynamic program prices the best pattern under those weights, and, from the same table, the best pattern with any given
+length. A round takes steps, none beyond what is left to cover, along patterns within SLACK of the best whose lengths lag
+most. The weights also are a dual solution, whose value bounds the program from below; the gap is logged.
+
+Of the solution the patterns without waste are rounded down (shares of 1, 0.95 and 0.9 of it are tried), best fit
+decreasing packs what they leave, and the rounding with the fewest sequences is kept. The plan is a table of runs: pieces
+of a length, numbered by rank, go to sequences and offsets by arithmetic; only the ranks are computed over the pieces.
+
+Defined cases: a null or empty text gives one piece, the end token; an empty table gives none. Rows are documents of their
+own, also when they repeat or their id is null. Texts are encoded whole, however long, each by one task.
 """
 
 from __future__ import annotations
 
 import functools
+import logging
 import zlib
 from pathlib import Path
 
@@ -26,10 +31,15 @@ from .common import Kept, arrow_schema, map_batches, texts_of
 
 SEQ = 1024
 END = 2
-ROUNDS = 800
+#: How much faster a weight falls than the covered share grows, the share of a length that one round covers at most, and
+#: how far below the best pattern's value a round goes.
+RATE, STEP, SLACK = 3.0, 0.1, 0.002
 PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
+log = logging.getLogger("stowage")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -89,46 +99,65 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", seq: int = SEQ, en
     return df.mapInArrow(run, f"{schema}, {PIECES}" if rest else PIECES)
 
 
-def price(lengths: np.ndarray, value: np.ndarray, seq: int) -> np.ndarray:
-    """How often each length is used in a pattern of greatest value: an unbounded knapsack."""
-    best, pick = np.zeros(seq + 1), np.full(seq + 1, -1)
+def price(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An unbounded knapsack. value: by length from 0, -inf where there is none. Gives the greatest value of each capacity and the length that it takes there (0: none)."""
+    seq = len(value) - 1
+    best, pick = np.zeros(seq + 1), np.zeros(seq + 1, np.int64)
+    back = np.zeros(seq + 1)  # best from right to left
     for c in range(1, seq + 1):
-        fit = np.searchsorted(lengths, c, side="right")
-        best[c], pick[c] = best[c - 1], -1
-        if fit:
-            total = best[c - lengths[:fit]] + value[:fit]
-            k = int(total.argmax())
-            if total[k] > best[c]:
-                best[c], pick[c] = total[k], k
-    use, c = np.zeros(len(lengths), np.int64), seq
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            use[pick[c]] += 1
-            c -= lengths[pick[c]]
-    return use
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, seq: int, rounds: int) -> dict[tuple[int, ...], float]:
-    """Patterns and how often to use them, so that each length is covered about once.
-
-    Weights start at the lengths, the dual solution of an instance without waste. A round uses the pattern of greatest
-    weight until half of one of its lengths is covered and lowers the weights of what it covered.
+        total = back[seq - c + 1 :] + value[1 : c + 1]
+        k = int(total.argmax())
+        best[c], pick[c] = (total[k], k + 1) if total[k] > best[c - 1] else (best[c - 1], 0)
+        back[seq - c] = best[c]
+    return best, pick
+
+
+def pattern(pick: np.ndarray, capacity: int) -> dict[int, int]:
+    """The lengths of the best pattern of a capacity."""
+    out: dict[int, int] = {}
+    while capacity > 0:
+        n = int(pick[capacity])
+        if n:
+            out[n] = out.get(n, 0) + 1
+        capacity -= n or 1
+    return out
+
+
+def solve(counts: dict[int, int], seq: int = SEQ, rate: float = RATE, step: float = STEP, slack: float = SLACK) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """Patterns, as ((length, copies), ...), and how often to use them, which cover each length exactly; and a lower bound of all solutions.
+
+    Steps are whole sequences as long as there are any. Where no pattern near the best can be used any more, the slack
+    doubles; at last steps of less than a sequence cover the rest.
     """
-    weight, covered = np.ones(len(lengths)), np.zeros(len(lengths))
-    used: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        pattern = price(lengths, weight * lengths, seq)
-        on = pattern > 0
-        times = max(1.0, (counts[on] / pattern[on]).min() / 2)
-        used[tuple(pattern)] = used.get(tuple(pattern), 0) + times
-        gain = times * pattern / counts
-        covered += gain
-        weight *= np.exp(-0.25 * gain)
-        if covered.min() >= 1:
-            break
-    return used
+    n = np.zeros(seq + 1)
+    n[list(counts)] = list(counts.values())
+    need, size, used, bound, whole = n.copy(), np.arange(seq + 1.0), {}, 0.0, True
+    while (need > 1e-9).any():
+        left = need > 1e-9
+        weight = size * np.exp(rate * (np.divide(need, n, out=np.zeros(seq + 1), where=n > 0) - 1))
+        value = np.where(left, weight, -np.inf)
+        best, pick = price(value)
+        if left.sum() == len(counts):
+            bound = max(bound, float((n * weight).sum() / best[seq]))
+        allowed = np.minimum(need, step * n + 8)
+        moved = False
+        for k in sorted(np.flatnonzero(left).tolist(), key=lambda k: (-need[k] / n[k], -k)):
+            if allowed[k] < (1 if whole else 1e-9) or value[k] + best[seq - k] < (1 - slack) * best[seq]:
+                continue
+            found = pattern(pick, seq - k)
+            found[k] = found.get(k, 0) + 1
+            times = min(allowed[x] / c for x, c in found.items())
+            times = float(int(times)) if times >= 1 else 0.0 if whole else times
+            if times > 1e-9:
+                for x, c in found.items():
+                    allowed[x] -= times * c
+                    need[x] -= times * c
+                key = tuple(sorted(found.items()))
+                used[key] = used.get(key, 0.0) + times
+                moved = True
+        if not moved:
+            whole, slack = whole and slack < 1, slack * 2 if slack < 1 else 1.0
+    return used, bound
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, seq: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -160,27 +189,32 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, seq: int) -> list[tuple[tu
     return [(p, n) for p, n in [*done, *(g for groups in open_.values() for g in groups)]]
 
 
-def plan(counts: dict[int, int], seq: int = SEQ, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(pattern of (length, copies), sequences)] that holds exactly counts[length] pieces of each length."""
+def plan(counts: dict[int, int], seq: int = SEQ) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """[(pattern of (length, copies), sequences)] that holds exactly counts[length] pieces of each length; those of the linear program first."""
     if not counts:
         return []
     lengths = np.array(sorted(counts), np.int64)
     n = np.array([counts[x] for x in lengths], np.int64)
-    mixture = sorted(solve(lengths, n.astype(float), seq, rounds).items(), key=lambda p: (seq - int(np.dot(p[0], lengths)), -p[1]))
+    place = {int(x): k for k, x in enumerate(lengths)}
+    used, bound = solve(counts, seq)
+    full = sorted((p for p in used if sum(x * c for x, c in p) == seq), key=lambda p: (-used[p], p))
     best: list = []
-    for share in (1.0, 0.9, 0.75, 0.5, 0.25):  # the less is rounded down, the more freedom is left to what packs the rest
+    for share in (1.0, 0.95, 0.9):  # the less is rounded down, the more freedom is left to what packs the rest
         rest, chosen = n.copy(), []
-        for pattern, x in mixture:
-            p = np.array(pattern)
-            times = min(int(x * share), int((rest[p > 0] // p[p > 0]).min()))
+        for p in full:
+            at, c = np.array([place[x] for x, _ in p]), np.array([c for _, c in p])
+            times = min(int(used[p] * share + 1e-6), int((rest[at] // c).min()))
             if times > 0:
-                rest -= times * p
-                chosen.append((tuple((int(k), int(p[k])) for k in np.flatnonzero(p)), times))
+                rest[at] -= times * c
+                chosen.append((p, times))
+        of_program = sum(t for _, t in chosen)
         left = np.flatnonzero(rest)
-        chosen += [(tuple((int(left[k]), c) for k, c in p), t) for p, t in best_fit(lengths[left], rest[left], seq)]
+        chosen += [(tuple((int(lengths[left[k]]), c) for k, c in p), t) for p, t in best_fit(lengths[left], rest[left], seq)]
         if not best or sum(t for _, t in chosen) < sum(t for _, t in best):
-            best = chosen
-    return [(tuple((int(lengths[k]), c) for k, c in p), t) for p, t in best]
+            best, kept = chosen, of_program
+    total = sum(t for _, t in best)
+    log.info("packing: linear program %.1f, bound %.1f, gap %.3f %%, %d sequences, %d of them from the program", sum(used.values()), bound, 100 * (sum(used.values()) / bound - 1), total, kept)
+    return best
 
 
 def runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, np.ndarray]:
@@ -198,10 +232,10 @@ def runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[int, n
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def place(cuts: DataFrame, seq: int = SEQ, rounds: int = ROUNDS, per_bucket: int = 50_000) -> DataFrame:
+def place(cuts: DataFrame, seq: int = SEQ, per_bucket: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to the pieces (a table that can be read twice)."""
     counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # seq rows at most
-    table = cuts.sparkSession.sparkContext.broadcast(runs(plan(counts, seq, rounds)))  # bounded by patterns and lengths, not by rows
+    table = cuts.sparkSession.sparkContext.broadcast(runs(plan(counts, seq)))  # bounded by patterns and lengths, not by rows
     buckets = min(1024, max(16, sum(counts.values()) // per_bucket))
     keys = [c for c in cuts.columns if c not in ("length", "ids_crc32")]
     dealt = cuts.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "ids_crc32"), F.lit(buckets)).cast("int"))
