@@ -3,14 +3,20 @@
 Vectors become integers floor(SCALE * x). At each level a vector is cut into segments and kept as their means and
 deviations. For segments of length n,
     |q - x|^2 >= sum n ((mean q - mean x)^2 + (dev q - dev x)^2),
-and as q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2, a lower bound of the distance is an upper bound of the score. Levels run
-from coarse to fine: the best candidates by the coarse bound give each query a score that k candidates reach, and a pair
-whose bound falls short of it at some level is out. Exact integer products are computed for the survivors, by one matrix
-product where many survive.
+and as q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2, a lower bound of the distance is an upper bound of the score,
+    q.x <= sum n (mean q mean x + dev q dev x).
+Levels run from coarse to fine. At each the candidates nearest by their means are scored exactly, so that a query knows a
+score that k candidates reach, and a pair whose bound falls short of it is out: it meets no finer level. Exact integer
+products are computed for the survivors.
+
+How many pairs fall out depends on the vectors; which way they are computed does not change the result: where more than
+SPARSE of a tile's pairs are left, a level's bounds and the exact scores come as one matrix product, which then costs
+less than products pair by pair.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, zero vectors do; a
-query with fewer candidates than k gets them all; equal scores go to the smaller id. A score that does not fit a long
-raises an error.
+query with fewer candidates than k gets them all; equal scores go to the smaller id; rows that repeat are candidates of
+their own; an empty table gives no rows. A score that does not fit a long raises an error. Other columns, whatever their
+names, take no part.
 """
 
 from __future__ import annotations
@@ -26,8 +32,10 @@ SCALE = 64
 #: Segments by level, coarse to fine.
 LEVELS = (4, 16, 32)
 CELLS = 4 << 20
-#: Share of surviving pairs from which a matrix product, exact in doubles, costs less than products pair by pair.
-DENSE = 0.02
+#: Share of a tile's pairs from which a matrix product costs less than products pair by pair.
+SPARSE = 0.03
+#: Candidates scored at each level for what a query can reach, in k.
+PROBES = 16
 
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -47,33 +55,56 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def bound(q: np.ndarray, x: np.ndarray, segments: int) -> np.ndarray:
     """Upper bounds of the scores of all pairs, by lower bounds of their squared distances."""
-    a, b = statistics(q, segments), statistics(x, segments)
-    q_size, x_size = (q**2).sum(axis=1)[:, None], (x**2).sum(axis=1)[None, :]
-    distance = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
-    return (q_size + x_size - distance) / 2 + 1e-9 * (q_size + x_size) + 1e-6
+    return _bounds(statistics(q, segments), statistics(x, segments), q, x)[1]
+
+
+def _bounds(a: np.ndarray, b: np.ndarray, q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the means alone say of all pairs' scores, and the upper bounds."""
+    near = a[:, ::2] @ b[:, ::2].T
+    return near, near + a[:, 1::2] @ b[:, 1::2].T + _slack(q)[:, None] + _slack(x)[None, :]
+
+
+def _slack(v: np.ndarray) -> np.ndarray:
+    """For rounding."""
+    return 1e-9 * (v**2).sum(axis=1) + 1e-6
+
+
+def prune(q: np.ndarray, x: np.ndarray, levels: list[np.ndarray], alive: np.ndarray, k: int):
+    """Takes out of alive, level by level, the pairs that cannot be among a query's k best; yields the share that is left."""
+    reached, probes = np.full(len(q), -np.inf), min(len(x), PROBES * k)
+    for segments, b in zip(LEVELS, levels):
+        a = statistics(q, segments)
+        if alive.mean() > SPARSE:
+            near, most = _bounds(a, b, q, x)
+            near[~alive] = -np.inf
+            first = np.argpartition(near, len(x) - probes, axis=1)[:, len(x) - probes :]
+            score = exact(np.repeat(q, probes, axis=0), x[first.ravel()]).reshape(len(q), probes).astype(float)
+            score[~np.take_along_axis(alive, first, axis=1)] = -np.inf
+            reached = np.maximum(reached, np.partition(score, probes - k, axis=1)[:, probes - k])
+            alive &= most >= reached[:, None]
+        else:
+            i, j = np.nonzero(alive)
+            most = np.einsum("ij,ij->i", a[i], b[j]) + _slack(q)[i] + _slack(x)[j]
+            alive[i, j] = most >= reached[i]
+        yield alive.mean()
 
 
 def tile(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     q, x = np.floor(SCALE * q), np.floor(SCALE * x)
     found = []
+    levels = [statistics(x, n) for n in LEVELS]
     step = max(1, CELLS // max(1, len(x)))
     for s in range(0, len(q), step):
         part, here = q[s : s + step], own[s : s + step]
         alive = np.ones((len(part), len(x)), bool)
         mine = np.flatnonzero(here >= 0)
         alive[mine, here[mine]] = False
-        reached = np.full(len(part), -np.inf)
         if len(x) > k + 1:
-            for level in LEVELS:
-                most = np.where(alive, bound(part, x, level), -np.inf)
-                first = np.argpartition(most, len(x) - k, axis=1)[:, len(x) - k :]
-                score = exact(np.repeat(part, k, axis=0), x[first.ravel()]).reshape(len(part), k).astype(float)
-                score[~np.take_along_axis(alive, first, axis=1)] = -np.inf
-                reached = np.maximum(reached, score.min(axis=1))
-                alive &= most >= reached[:, None]
-            if alive.mean() > DENSE and np.abs(part).max() * np.abs(x).max() * part.shape[1] < 2.0**53:
+            for _ in prune(part, x, levels, alive, k):
+                pass
+            if alive.mean() > SPARSE and np.abs(part).max() * np.abs(x).max() * part.shape[1] < 2.0**53:  # then exact in doubles
                 score = np.where(alive, part @ x.T, -np.inf)
-                alive = (score >= np.partition(score, len(x) - k, axis=1)[:, len(x) - k, None]) & alive
+                alive &= score >= np.partition(score, len(x) - k, axis=1)[:, len(x) - k, None]
         a, b = np.nonzero(alive)
         found.append((a + s, b))
     a, b = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64),) * 2

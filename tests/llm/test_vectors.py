@@ -66,6 +66,32 @@ def test_bounds_hold():
     assert np.allclose(topk.bound(q, x, 64), q @ x.T, rtol=1e-6, atol=1)
 
 
+@pytest.mark.parametrize("sparse", [0.0, 0.03, 1.0])
+def test_tile_is_the_same_either_way(monkeypatch, sparse):
+    """Bounds and scores by matrix product or pair by pair, on vectors of which many or few pairs fall out."""
+    monkeypatch.setattr(topk, "SPARSE", sparse)
+    draw = np.random.default_rng(2)
+    for x in (draw.normal(size=(700, 64)), np.cumsum(draw.normal(size=(700, 64)), axis=1) / 8, np.repeat(draw.normal(size=(70, 16)), 10, axis=0)):
+        at = np.arange(0, 700, 20)
+        a, b, score = topk.tile(x[at], x, at, 20)
+        z = np.floor(64 * x).astype(int)
+        for i, q in enumerate(at):
+            want = np.delete(z[q] @ z.T, q)
+            got = np.sort(score[a == i])[::-1]
+            assert (got[:20] == np.sort(want)[::-1][:20]).all() and q not in b[a == i]
+
+
+def test_levels_take_pairs_out():
+    """Smooth series fall out early, and only pairs below what a query reaches do."""
+    draw = np.random.default_rng(3)
+    x = np.floor(64 * np.cumsum(draw.normal(size=(2000, 64)), axis=1) / 20)
+    q, alive = x[::100], np.ones((20, 2000), bool)
+    shares = list(topk.prune(q, x, [topk.statistics(x, n) for n in topk.LEVELS], alive, 20))
+    assert shares == sorted(shares, reverse=True) and shares[0] < 0.5 and shares[-1] < 0.1
+    score = q @ x.T
+    assert all(alive[i, np.argsort(-score[i])[:20]].all() for i in range(20))
+
+
 def test_large_values_are_exact():
     q, x = np.full((1, 4), 2.0**40), np.array([[2.0**21, 1, 1, 1], [0, 0, 0, 3]])
     assert topk.exact(np.repeat(q, 2, 0), x).tolist() == [2**61 + 3 * 2**40, 3 * 2**40]
