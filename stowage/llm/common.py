@@ -7,6 +7,7 @@ names. Columns that operators add for their own use get names that the input has
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +47,11 @@ def row_hash(df: DataFrame, seed: int):
     return F.xxhash64(F.lit(seed), F.concat_ws(",", *[c.isNull().cast("string") for c in columns]), *columns)
 
 
+def sized(df: DataFrame, rows_: int, per: int) -> DataFrame:
+    """df in about as many partitions as `per` rows each take, if those are fewer: small tables are not written as many files."""
+    return df.coalesce(max(1, math.ceil(rows_ / per)))
+
+
 def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict], setup: Callable[[], object] | None = None) -> DataFrame:
     """Adds columns to every row. fn(batch) or fn(batch, setup()) gives the added columns; they replace columns of the same name."""
     new, same = T._parse_datatype_string(added), folded(df)

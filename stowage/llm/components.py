@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept
+from .common import Kept, sized
 
 
 def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,27 +28,28 @@ def local_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[leaf], nodes[label[leaf]]
 
 
-def stars(links: DataFrame, rounds: int = 60) -> Kept:
+def stars(links: DataFrame, rounds: int = 60, per: int = 1 << 18, known: int | None = None) -> Kept:
     """links(a, b): not null and of one ordered type. Gives (a, b): each node but the smallest of its component, and that node.
 
-    Each round is written to the shared folder, so a lost executor costs one round at most. No node's neighbours are
-    ever gathered in a list: a round is a minimum by node and a join that Spark may split where a node is hot.
+    Each round is written to the shared folder, in files of about `per` links, so a lost executor costs one round at most. No
+    node's neighbours are ever gathered in a list: a round is minima by node and joins that Spark may split where a node is hot.
+    known: how many links there are, where that is known.
     """
-    now, sign = Kept(links.select("a", "b").where("a <> b").distinct(), "links"), None
+    start = links.select("a", "b").where("a <> b").distinct()
+    now, sign = Kept(start if known is None else sized(start, known, per), "links"), None
+    n = now.df.count()
     for _ in range(rounds):
         near = now.df.toDF("u", "v")
         both = near.union(near.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u and v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).distinct()
-        step = Kept(large, "links")
-        low = step.df.groupBy("u").agg(F.min("v").alias("m"))
-        small = step.df.join(low, "u").where("v <> m").select("v", "m").union(low.select("u", "m")).distinct().toDF("a", "b")
-        new = Kept(small, "links")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select("v", "m").union(low.select("u", "m")).distinct().toDF("a", "b")
+        new = Kept(sized(small, n, per), "links")
         now.drop()
-        step.drop()
         now = new
         seen = now.df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == sign:
             return now
-        sign = seen
+        n, sign = seen[0], seen
     raise RuntimeError("components did not settle")

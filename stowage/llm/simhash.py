@@ -24,11 +24,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, expand, free, map_batches, own_columns, row_hash, rows, squeeze, texts_of
+from .common import Kept, expand, free, map_batches, own_columns, row_hash, rows, sized, squeeze, table, texts_of
 from .components import local_stars, stars
 
 TAU = 4
@@ -40,6 +41,8 @@ NEAR, NEAR_WORDS = 0.8, 5
 BANDS, DEPTH = 32, 5
 #: Bits kept of a shingle's hash where sets are compared.
 SET_BITS = 48
+#: Rounds in which the members of a list are held against one of them.
+ROUNDS = 3
 #: Bound of the sample that the parts are fitted to.
 SAMPLE = 20_000
 #: A list longer than this is cut into chunks of this many.
@@ -309,25 +312,62 @@ def _verify(batches):
             yield rows("a long, b long", {c: part.column(k).to_numpy()[hit] for k, c in enumerate("ab")})
 
 
-def near_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """lists(key, mark, a): members of bands that more than one has, a the least of them; sets(mark, set). Gives (a, b): links
-    whose components are those of all verified pairs that share a band."""
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        return Kept(full.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"), "near-links").df
-
-    # a list's members are held against its least one first; after that only against those of other components
-    first = verified(lists.select("a", F.col("mark").alias("b")).where("a <> b").distinct())
-    tree = stars(first).df.select(F.col("a").alias("mark"), F.col("b").alias("root"))
-    member = lists.select("key", "mark").join(tree, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """Links between members (mark, root, side, set) of a list, or of two of its chunks, that join their components."""
+    mark, root, side = (group.column(c).to_numpy() for c in ("mark", "root", "side"))
+    sets = [np.cumsum(expand(x.as_py(), "<u8"), dtype=np.uint64) for x in group.column("set")]
+    size = np.array([len(x) for x in sets])
+    _, label = np.unique(root, return_inverse=True)
+    a, b = [], []
+    for d in range(1, len(mark)):
+        if label.min() == label.max():
+            break
+        x = np.arange(len(mark) - d)
+        y = x + d
+        may = (label[x] != label[y]) & ((side[x] == 0) | (side[x] != side[y])) & (np.minimum(size[x], size[y]) >= NEAR * np.maximum(size[x], size[y]))
+        for i, j in zip(x[may].tolist(), y[may].tolist()):
+            if label[i] != label[j] and similarity(sets[i], sets[j]) >= NEAR:
+                a.append(mark[i])
+                b.append(mark[j])
+                label[label == label[j]] = label[i]
+    return table("a long, b long", {"a": a, "b": b})
+
+
+def near_links(lists: DataFrame, sets: DataFrame, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
+    """lists(key, mark): members of bands that more than one has; sets(mark, set). Gives (a, b): links whose components are
+    those of all verified pairs that share a band.
+
+    In each round a list's members are held against one of them, another each time, if they are not of its component yet:
+    at most as many pairs as members. What is of several components after that is compared within one task a list, a long
+    list in pairs of its chunks; such a task gives links only, not pairs.
+    """
+    n, tree = lists.count(), None
+    member = lists.select("key", "mark", F.col("mark").alias("root"))
+    for k in range(rounds):
+        centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("mark", F.lit(k)).alias("h"), "mark", "root")).alias("c")).select("key", F.col("c.mark").alias("m"), F.col("c.root").alias("r"))
+        pairs = member.join(centre, "key").where("root <> r").select(F.least("mark", "m").alias("a"), F.greatest("mark", "m").alias("b")).distinct()
+        full = sized(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb"), n, 1 << 14)
+        found = Kept(full.mapInArrow(_verify, "a long, b long"), "near-links").df
+        known = found if tree is None else found.union(tree)
+        tree = stars(known, known=known.count()).df
+        member, n = _mixed(lists, tree, n)
+        if not n:
+            return tree
+    many = member.groupBy("key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("k"))
+    chunked = member.join(many, "key").withColumn("i", F.pmod(F.xxhash64("mark"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    side = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).cast("long")
+    given = chunked.select("key", "mark", "root", side.alias("side"), F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).join(sets, "mark")
+    rest = given.groupBy("key", "lo", "hi").applyInArrow(_compare, "a long, b long").distinct()
+    rest = Kept(sized(rest, n, 1 << 16), "near-links").df
+    return rest if tree is None else rest.union(tree)
+
+
+def _mixed(lists: DataFrame, tree: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Members (key, mark, root) of the lists that hold several components, and how many there are."""
+    member = lists.select("key", "mark").join(tree.toDF("mark", "root"), "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
     mixed = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    member = Kept(member.join(mixed, "key"), "near-members").df
-    other = member.toDF("key", "b", "other")
-    # pairs with the least member were held against each other already
-    rest = member.join(other, "key").where("mark < b and root <> other").select(F.col("mark").alias("a"), "b").distinct()
-    rest = rest.join(lists.select("a", F.col("mark").alias("b")).distinct(), ["a", "b"], "left_anti")
-    return first.union(verified(rest))
+    found = Kept(sized(member.join(mixed, "key"), n, 1 << 18), "near-members").df
+    return found, found.count()
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,19 +381,21 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     source = own.select(one, two, F.col(id).alias("id"), F.col(text).alias("text")).toDF("one", "two", "id", "text")
     sketched = map_batches(source, "mark long, bands array<long>", _sketches(3, ["mark", "bands"]))
     marked = Kept(sketched.drop("text"), "near-marks").df
-    sets = Kept(marked.groupBy("mark").agg(F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), "near-sets").df  # of equal sets one
+    n = marked.count()
+    sets = Kept(sized(marked.groupBy("mark").agg(F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), n, 1 << 15), "near-sets").df  # of equal sets one
     lists = sets.select("mark", F.explode("bands").alias("key"))
-    least = lists.groupBy("key").agg(F.min("mark").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    lists = Kept(lists.join(least, "key"), "near-lists").df
+    several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    lists = Kept(sized(lists.join(several, "key"), n, 1 << 15), "near-lists").df
     asked = sets.join(lists.select("mark").distinct(), "mark", "left_semi").select("mark", "row.one", "row.two")
     hashed = source.select("one", "two", "text").join(asked, ["one", "two"]).select("mark", "text").mapInArrow(_sets, "mark long, set binary")
-    verify = Kept(hashed.groupBy("mark").agg(F.first("set").alias("set")), "near-shingles").df  # a row that repeats comes once
-    tree = stars(near_links(lists, verify)).df.toDF("mark", "root")
+    verify = Kept(sized(hashed.groupBy("mark").agg(F.first("set").alias("set")), n, 1 << 15), "near-shingles").df  # a row that repeats comes once
+    found = near_links(lists, verify)
+    tree = stars(found, known=found.count()).df.toDF("mark", "root")
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "one", "two")
     best = marked.groupBy("mark").agg(F.min(place).alias("best")).join(tree, "mark", "left")
     stays = best.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min("best").alias("best")).select("best.one", "best.two")
     goes = marked.select("one", "two").distinct().join(stays, ["one", "two"], "left_anti")
-    left = own.join(Kept(goes, "near-goes").df.toDF(one, two), [one, two], "left_anti")
+    left = own.join(Kept(sized(goes, n, 1 << 18), "near-goes").df.toDF(one, two), [one, two], "left_anti")
     if not marked.groupBy("one", "two").count().where("count > 1").isEmpty():
         left = left.dropDuplicates([one, two])
     return left.select(*own_columns(docs))

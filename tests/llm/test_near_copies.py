@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from stowage.llm import simhash
 from stowage.llm.common import row_hash
 
 from .data import rows_of
+from .test_pipeline import near_brute
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -58,6 +60,32 @@ def test_bands_meet_at_the_bound():
         assert (simhash.bands(x[:100]) == simhash.bands(x[11:])).any()  # 89 of 110 are shared
 
 
+@pytest.mark.parametrize("rounds, chunk", [(0, 2048), (0, 5), (1, 2048), (3, 2048)])
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, rounds, chunk):
+    """Groups about the bound: chains of edits, a wide group whose members are alike only in part; in any way of comparing."""
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (rounds, chunk))
+    draw = random.Random(12)
+    docs, text = [], lambda ws: " ".join(ws)
+    for g in range(8):
+        words = [f"w{draw.randrange(3000)}" for _ in range(120)]
+        for _ in range(14):  # a chain: each an edit of the one before
+            docs.append(text(words))
+            words = list(words)
+            words[draw.randrange(len(words))] = f"e{draw.randrange(10**9)}"
+        base = [f"v{draw.randrange(3000)}" for _ in range(120)]
+        for _ in range(14):  # a wide group: each differs from the base by about a tenth
+            other = list(base)
+            for k in draw.sample(range(120), draw.randint(1, 3)):
+                other[k] = f"e{draw.randrange(10**9)}"
+            docs.append(text(other))
+    docs += ["", None, " ", "one two", "one two", "two one", "x " * 5000, "x " * 4000]
+    rows = [{"doc_id": i, "text": t} for i, t in enumerate(docs)]
+    draw.shuffle(rows)
+    got = rows_of(simhash.near_copies(spark.createDataFrame([(r["doc_id"], r["text"], "en") for r in rows], SCHEMA)))
+    groups = near_brute(rows)
+    assert sorted(r["doc_id"] for r in got) == sorted(least for least, _ in groups) and len(groups) < len(rows) / 2
+
+
 def test_rows_that_differ_in_where_a_null_is_are_two(spark):
     docs = spark.createDataFrame([(1, "some text of its own here", "x", None), (1, "some text of its own here", None, "x"), (2, "another one, of words nobody else has", "x", None), (2, "another one, of words nobody else has", "x", None)], "doc_id long, text string, a string, b string")
     assert docs.select(row_hash(docs, 1).alias("h")).distinct().count() == 3
