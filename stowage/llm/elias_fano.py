@@ -123,34 +123,36 @@ def decode(code: np.ndarray) -> np.ndarray:
 
 
 class Trie:
-    """Two levels: contexts with the probability mass they leave to the lower order, and the words that follow them.
+    """Two levels: contexts, and the words that follow them with their quantised probabilities.
 
-    Level 1 is the sorted contexts, pointers to their ranges in level 2, and a code per context. Level 2 is, in one
-    monotone sequence, the followers of context number r as r * words + word, and a code per follower. A lookup finds the
-    context, then the successor of the word relative to that context.
+    Level 1 is the sorted contexts and, per context, a pointer to its range in level 2. Level 2 is one monotone sequence: a
+    context's followers rise within its range, and each range starts one above the last value of the range before. A
+    lookup finds the context, reads its range from the pointers, and searches the successor of the word, relative to the
+    range's start, inside the range.
     """
 
-    def __init__(self, context: np.ndarray, word: np.ndarray, p: np.ndarray, backoff: np.ndarray, words: int):
-        """Sorted distinct pairs with probabilities; backoff by distinct context in order."""
-        distinct, first, rank = np.unique(context, return_index=True, return_inverse=True)
-        self.words = max(1, int(words))
-        self.contexts = EliasFano(distinct, int(distinct[-1]) + 1 if len(distinct) else 1)
+    def __init__(self, context: np.ndarray, word: np.ndarray, p: np.ndarray):
+        """Sorted distinct pairs with probabilities."""
+        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(context)) - 1 if len(first) else first
+        start = np.concatenate([[0], np.cumsum(word[last].astype(np.int64) + 1)]).astype(_U)
+        self.contexts = EliasFano(context[first], int(context[-1]) + 1 if len(context) else 1)
         self.pointers = EliasFano(np.append(first, len(context)), len(context) + 1)
-        self.followers = EliasFano(rank.ravel().astype(_U) * _U(self.words) + word.astype(_U), max(1, len(distinct)) * self.words)
-        self.p, self.backoff = encode(p), encode(backoff)
+        self.followers = EliasFano(start[np.cumsum(new) - 1] + word.astype(_U), int(start[-1]) + 1)
+        self.p = encode(p)
 
     def dumps(self) -> bytes:
-        return b"".join([struct.pack("<qqq", self.words, len(self.p), len(self.backoff)), self.contexts.dumps(), self.pointers.dumps(), self.followers.dumps(), self.p.tobytes(), self.backoff.tobytes()])
+        return b"".join([struct.pack("<q", len(self.p)), self.contexts.dumps(), self.pointers.dumps(), self.followers.dumps(), self.p.tobytes()])
 
     @classmethod
     def over(cls, buffer) -> Trie:
         self = cls.__new__(cls)
-        self.words, pairs, contexts = struct.unpack_from("<qqq", buffer)
-        self.contexts, at = EliasFano.over(buffer, 24)
+        (n,) = struct.unpack_from("<q", buffer)
+        self.contexts, at = EliasFano.over(buffer, 8)
         self.pointers, at = EliasFano.over(buffer, at)
         self.followers, at = EliasFano.over(buffer, at)
-        self.p = np.frombuffer(buffer, "<u2", pairs, at)
-        self.backoff = np.frombuffer(buffer, "<u2", contexts, at + 2 * pairs)
+        self.p = np.frombuffer(buffer, "<u2", n, at)
         return self
 
     def mapped(self) -> Trie:
@@ -160,23 +162,26 @@ class Trie:
         space[:] = raw
         return Trie.over(space)
 
-    def lookup(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the pair (NONE if it isn't there) and of the context's backoff (NONE if it isn't there)."""
-        p, backoff = np.full(len(context), NONE, "<u2"), np.full(len(context), NONE, "<u2")
-        if not len(self.p):
-            return p, backoff
+    def lookup(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of the pairs, NONE where a pair isn't there."""
+        p = np.full(len(context), NONE, "<u2")
+        if not len(self.p) or not len(context):
+            return p
         context, word = np.asarray(context, _U), np.asarray(word, _U)
-        new = np.concatenate([[True], context[1:] != context[:-1]]) if len(context) else np.zeros(0, bool)
+        new = np.concatenate([[True], context[1:] != context[:-1]])
         run = np.cumsum(new) - 1  # equal neighbours are looked up once
         asked = context[new]
-        inside = asked < _U(self.contexts.universe)
-        r, there = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-        r[inside], there[inside] = self.contexts.find(asked[inside])
-        known = np.flatnonzero(there[run])
-        rank = r[run[known]]
-        backoff[known] = self.backoff[rank]
-        usual = word[known] < _U(self.words)
-        known, rank = known[usual], rank[usual]
-        at, hit = self.followers.find(rank.astype(_U) * _U(self.words) + word[known])
-        p[known[hit]] = self.p[at[hit]]
-        return p, backoff
+        inside = np.flatnonzero(asked < _U(self.contexts.universe))
+        r, there = self.contexts.find(asked[inside])
+        r, inside = r[there], inside[there]
+        first, end = np.zeros(len(asked), np.int64), np.zeros(len(asked), np.int64)
+        start = np.zeros(len(asked), _U)
+        first[inside], end[inside] = self.pointers.get(r).astype(np.int64), self.pointers.get(r + 1).astype(np.int64)
+        later = inside[first[inside] > 0]
+        start[later] = self.followers.get(first[later] - 1) + _U(1)
+        target = start[run] + word
+        at = np.flatnonzero((end[run] > 0) & (target < _U(self.followers.universe)))
+        place, hit = self.followers.find(target[at])
+        hit &= place < end[run[at]]
+        p[at[hit]] = self.p[place[hit]]
+        return p

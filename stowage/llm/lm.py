@@ -1,19 +1,26 @@
-"""Language-model scoring with a sharded Elias-Fano bigram trie.
-
-Base: P1(w) = (c + 0.1) / (N + 0.1 (V + 1)) over the training tokens. Model: modified Kneser-Ney style discounts by the
-size of the context, interpolated with P1:
-    P(w | v) = (c(v, w) - D) / c(v) + backoff(v) P1(w)
-which adds up to 1 over the known words and one unknown word. A context is the word before, or the text's start.
-
-Texts are tokenised once into blocks (word numbers and a sorted word list). Words, then word pairs, are dealt to shards
-as compact sorted lists, one row per block and shard, so a word or pair that many texts share costs one entry a block. A
-word shard adds up counts and numbers the words. A pair shard adds up counts, builds its trie and looks up every block's
-pairs in it; what goes back is a 16-bit code a pair and a context. A context whose count is HOT or more is spread over
-all shards by pair and gets a Dirichlet prior of HOT_PRIOR instead of discounts, which need all its followers in one
-place. All of the training texts are counted; shards grow in number, not in size, with the corpus.
-
-Defined cases: null texts are empty and have one token, the end. Without training texts N and V are 0, and every token
-gets the probability 1 of the unknown word. More than 2**32 - 8 distinct words raise an error.
+"""Language-model scoring with sharded Elias-Fano n-gram tries.
+
+Base: P1(w) = (c + 0.1) / (N + 0.1 (V + 1)) over the training tokens. The model of order n goes up from it:
+    Pk(w | h) = (c(h, w) + t(h) Pk-1(w | shorter h)) / (c(h) + t(h)),  t(h) = PRIOR * c(h) ** POWER,
+a Dirichlet prior whose weight grows with the context's count c(h) as the number of distinct followers does. It is one
+rule for every context and every size of corpus, and adds up to 1 over the known words and one unknown word. The context is
+the words before in the text; the text's start counts as one.
+
+Texts are tokenised once into blocks (word numbers and a sorted word list). Words, then n-grams of each order, are dealt
+to shards by hash as compact sorted lists, one row per block and shard, so a word or n-gram that many texts share costs
+one entry a block, and the followers of a frequent context are spread over all shards. A word shard adds up counts and
+numbers the words. An n-gram shard adds up counts, builds its trie of quantised probabilities c / N and looks up every
+block's n-grams in it; what goes back is a 16-bit code an n-gram. All counts cover all training texts; shards grow in
+number, not in size, with the corpus. Codes are 1/512 of a decade: counts below 220 come back exactly, larger ones to half
+a per cent, a context's rounded up and an n-gram's down, so that probabilities never add up to more than 1.
+
+N-grams of order 3 and more are named by hashes whose width follows the number of tokens, some bits of the context and three
+times as many of context and word: an n-gram shares its name with another with a probability of about 2 ** -NAME_BITS.
+
+Defined cases: null texts are empty and have one token, the end; an empty table gives no rows. Without training texts N
+and V are 0, and every token gets the probability 1 of the unknown word. Rows that repeat count and are scored each. A very
+long text is a block of its own, in one task's memory. More than 2**32 - 8 distinct words raise an error. Other columns,
+whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -26,27 +33,37 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Kept, expand, frame, is_train, rows, slices, squeeze, table, unframe
-from .elias_fano import Trie, decode
+from .elias_fano import NONE, STEP, Trie, decode
 
 HELD = (10, 0)
 ALPHA = 0.1
-BLOCK_BYTES = 10 << 20
-#: Distinct words, or pairs of neighbours, that a shard is meant to hold.
-SHARD_WORDS, SHARD_PAIRS = 400_000, 2_500_000
-HOT, HOT_PRIOR = 200_000, 1_000.0
-#: Pairs looked up at once, few enough for the CPU's cache.
+ORDER = 3
+PRIOR, POWER = 1.0, 0.9
+BLOCK_BYTES = 6 << 20
+#: Words of all blocks, or distinct n-grams of all blocks at most, that a shard is meant to get.
+SHARD_WORDS, SHARD_GRAMS = 400_000, 2_000_000
+#: N-grams looked up at once, few enough for the CPU's cache.
 LOOKUPS = 1 << 15
 #: Word lists are ordered by this many hash buckets first; a power of two of shards divides them.
-BUCKETS = 4_096
+BUCKET_BITS = 24
+NAME_BITS = 20
 START, END, FIRST = 0, 1, 2
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+BLOCKS = "block long, n long, n_train long, words long, payload binary"
 ROW = "block long, kind int, shard int, n long, payload binary"
 
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _Q
+    h = (h ^ (h >> np.uint64(29))) * _P
+    return h ^ (h >> np.uint64(32))
+
+
 def _bucket(words: pa.Array) -> np.ndarray:
-    """A hash of each word, below BUCKETS. No word is empty."""
+    """A hash of each word, of BUCKET_BITS. No word is empty."""
     if not len(words):
         return np.zeros(0, np.int64)
     offsets = np.frombuffer(words.buffers()[1], np.int32 if pa.types.is_binary(words.type) else np.int64, len(words) + 1, words.offset * (4 if pa.types.is_binary(words.type) else 8)).astype(np.int64)
@@ -54,8 +71,7 @@ def _bucket(words: pa.Array) -> np.ndarray:
     starts, lengths = offsets[:-1] - offsets[0], np.diff(offsets)
     powers = np.cumprod(np.full(int(lengths.max()) + 1, _P, np.uint64))
     h = np.add.reduceat((values + np.uint64(1)) * powers[np.arange(len(values)) - np.repeat(starts, lengths)], starts)
-    h ^= h >> np.uint64(29)
-    return ((h * _P) >> np.uint64(52)).astype(np.int64)
+    return (_mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _blocks(batches):
@@ -77,7 +93,7 @@ def _blocks(batches):
             codes = place[codes] if len(codes) else np.zeros(0, "<u4")
             counts = np.bincount(codes[learned], minlength=len(words)).astype("<u4")
             payload = frame([_ids(ids.slice(s, e - s)), squeeze(n.astype("<u4")), np.packbits(train[s:e]).tobytes(), squeeze(codes), squeeze(np.frombuffer(b"\n".join(words.to_pylist()), np.uint8)), squeeze(counts)])
-            yield rows(ROW, {"block": [block], "kind": [0], "shard": [0], "n": [len(codes) + e - s], "payload": [payload]})
+            yield rows(BLOCKS, {"block": [block], "n": [len(codes) + e - s], "n_train": [int(train[s:e].sum())], "words": [len(words)], "payload": [payload]})
             block += 1
 
 
@@ -97,6 +113,22 @@ def _ids(ids: pa.Array) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+class Corpus:
+    """What the driver knows after the words are counted, and what follows from it. Small; goes to the executors with the code."""
+
+    def __init__(self, order: int, n_train: int, tokens: int, per_shard: np.ndarray, n_words: int, n_tokens: int):
+        self.order, self.n_train, self.n_words, self.n_tokens = order, n_train, n_words, n_tokens
+        self.base = np.concatenate([[0], np.cumsum(per_shard)])
+        self.word_shards = len(per_shard)
+        self.unknown = int(self.base[-1]) + FIRST
+        if self.unknown >= 1 << 32:
+            raise ValueError("more distinct words than 32-bit word numbers")
+        self.shards = max(1, math.ceil(tokens / SHARD_GRAMS))
+        width = min(64, max(1, tokens).bit_length() + NAME_BITS)
+        self.lead = width // 4  # bits of a name that are of the context alone; contexts may share them
+        self.rest = width - self.lead  # bits that tell apart all that follows them
+
+
 class Block:
     """A block row read back; with answers of the word shards also the words' numbers and counts."""
 
@@ -109,7 +141,7 @@ class Block:
         raw = expand(p[4], np.uint8).tobytes()
         self.words = pa.array(raw.split(b"\n") if raw else [], pa.binary())
         self.counts = expand(p[5], "<u4")
-        shard = _bucket(self.words) * shards // BUCKETS
+        shard = _bucket(self.words) * shards >> BUCKET_BITS
         self.cut = np.searchsorted(shard, np.arange(shards + 1))
         if answers is not None:
             self.number, self.total = np.full(len(self.words), -1, np.int64), np.zeros(len(self.words), np.int64)
@@ -119,29 +151,25 @@ class Block:
                 self.number[at] = np.where(total > 0, np.cumsum(expand(number, "<u4"), dtype=np.int64) + base[k] + FIRST, -1)
                 self.total[at] = total
 
-    def chains(self, n_train: int, unknown: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of every token, ends included: context number, own number, count, text. Unknown words have the number `unknown`."""
+    def chains(self, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every token, ends included: number (`unknown` for unknown words), count, and place in its text."""
         ends = np.cumsum(self.n + 1) - 1
         m = len(self.codes) + len(self.n)
-        own, count = np.full(m, END, np.uint32), np.full(m, n_train, np.int64)
-        word = np.ones(m, bool)
+        own, count, word = np.full(m, END, np.uint64), np.full(m, corpus.n_train, np.int64), np.ones(m, bool)
         word[ends] = False
-        number = np.where(self.number < 0, unknown, self.number)
-        own[word], count[word] = number[self.codes], self.total[self.codes]
-        context = np.concatenate([np.array([START], np.uint32), own[:-1]])
-        context[np.concatenate([[0], ends[:-1] + 1])[: len(ends)]] = START
-        return context, own, count, np.repeat(np.arange(len(self.n), dtype=np.int32), self.n + 1)
+        own[word], count[word] = np.where(self.number < 0, corpus.unknown, self.number)[self.codes], self.total[self.codes]
+        return own, count, np.arange(m) - np.repeat(ends - self.n, self.n + 1)
 
 
 def _deal_words(shards: int):
     def run(batches):
         for batch in batches:
-            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 b = Block(payload, shards=shards)
-                for k in np.flatnonzero(np.diff(b.cut)):
-                    at = slice(b.cut[k], b.cut[k + 1])
-                    words = squeeze(np.frombuffer(b"\n".join(b.words[at].to_pylist()), np.uint8))
-                    yield rows(ROW, {"block": [block], "kind": [1], "shard": [k], "n": [0], "payload": [frame([words, squeeze(b.counts[at])])]})
+                full = np.flatnonzero(np.diff(b.cut))
+                parts = [slice(b.cut[k], b.cut[k + 1]) for k in full]
+                dealt = [frame([squeeze(np.frombuffer(b"\n".join(b.words[at].to_pylist()), np.uint8)), squeeze(b.counts[at])]) for at in parts]
+                yield rows(ROW, {"block": [block] * len(full), "kind": [1] * len(full), "shard": full, "n": [0] * len(full), "payload": dealt})
 
     return run
 
@@ -165,161 +193,150 @@ def _add_words(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return table(ROW, {"block": [*group.column("block").to_pylist(), -1], "kind": [1] * n + [2], "shard": [shard] * (n + 1), "n": [0] * n + [len(total)], "payload": [*answers, np.array([(total > 0).sum(), total.sum()], "<i8").tobytes()]})
 
 
-def _read(group: pa.Table, shards: int, base: np.ndarray) -> tuple[Block | None, dict[int, bytes]]:
-    """The block of a group of rows of kinds 0, 1 and 3, and its pair shards' answers."""
+def _read(group: pa.Table, corpus: Corpus) -> Block | None:
+    """The block of a group of rows of kinds 0 and 1."""
     kind, shard, payload = (group.column(c).to_pylist() for c in ("kind", "shard", "payload"))
-    words = {s: p for k, s, p in zip(kind, shard, payload) if k == 1}
     own = [p for k, p in zip(kind, payload) if k == 0]
-    return Block(own[0], words, shards, base) if own else None, {s: p for k, s, p in zip(kind, shard, payload) if k == 3}
-
-
-class Pairs:
-    """The distinct pairs of a block, ordered by shard and key, and the place of every token's pair among them."""
-
-    def __init__(self, block: Block, n_train: int, unknown: int, shards: int):
-        context, own, self.count, text = block.chains(n_train, unknown)
-        key = (context.astype(np.uint64) << np.uint64(32)) | own
-        del own
-        self.keys, first, at = np.unique(key, return_index=True, return_inverse=True)
-        del key
-        v = self.keys >> np.uint64(32)
-        self.size = np.where(context[first] == START, n_train, self.count[first - 1])  # the context's count
-        mixed = np.where(self.size >= HOT, self.keys, v) * _P
-        shard = ((mixed ^ (mixed >> np.uint64(32))) % np.uint64(shards)).astype(np.int64)
+    return Block(own[0], {s: p for k, s, p in zip(kind, shard, payload) if k == 1}, corpus.word_shards, corpus.base) if own else None
+
+
+class Grams:
+    """The distinct n-grams of one order in a block that can have been learned, ordered by shard and name, and where each token's is among them (-1: it has none)."""
+
+    def __init__(self, names: np.ndarray, has: np.ndarray, learned: np.ndarray, shards: int):
+        found, at = np.unique(names[has], return_inverse=True)
+        shard = (_mix(found * _P) % np.uint64(shards)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        self.keys, self.size, self.at = self.keys[order], self.size[order], back[at.ravel()]
+        self.names, self.at = found[order], np.full(len(names), -1, np.int64)
+        self.at[has] = back[at.ravel()]
         self.cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        learned = block.train[text]
-        self.learned = np.bincount(self.at[learned], minlength=len(order)).astype("<u4")
-
-
-def _deal_pairs(word_shards: int, base: np.ndarray, n_train: int, unknown: int, shards: int):
+        self.learned = np.bincount(self.at[has & learned], minlength=len(order)).astype("<u4")
+
+
+def grams(block: Block, corpus: Corpus):
+    """Of each order from 2 the Grams. A name's high bits are of the context, its low bits of what follows it there."""
+    own, _, place = block.chains(corpus)
+    learned = np.repeat(block.train, block.n + 1)
+    known = own != np.uint64(corpus.unknown)
+    before = np.concatenate([np.array([START], np.uint64), own[:-1]])
+    before[place == 0] = START
+    names = (before << np.uint64(32)) | own
+    has = known & (before != np.uint64(corpus.unknown))
+    whole = _mix(names)
+    for order in range(2, corpus.order + 1):
+        if order > 2:
+            context = np.concatenate([np.zeros(1, np.uint64), whole[:-1]])
+            whole = _mix(context * _P + own)
+            has = known & (place >= order - 2) & np.concatenate([[False], has[:-1]])
+            names = ((context >> np.uint64(64 - corpus.lead)) << np.uint64(corpus.rest)) | (whole >> np.uint64(64 - corpus.rest))
+        yield Grams(names, has, learned, corpus.shards)
+
+
+def _deal_grams(corpus: Corpus):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        block, _ = _read(group, word_shards, base)
+        block = _read(group, corpus)
         out: dict = {"block": [], "kind": [], "shard": [], "n": [], "payload": []}
-        if block:
-            p = Pairs(block, n_train, unknown, shards)
-            for k in np.flatnonzero(np.diff(p.cut)):
-                at = slice(p.cut[k], p.cut[k + 1])
-                keys, hot = p.keys[at], np.flatnonzero(p.size[at] >= HOT)
-                payload = frame([squeeze(np.diff(keys, prepend=np.uint64(0))), squeeze(p.learned[at]), squeeze(hot.astype("<u4")), squeeze(p.size[at][hot].astype("<i8"))])
-                for name, x in zip(out, (key[0].as_py(), 3, int(k), 0, payload)):
+        for order, g in enumerate(grams(block, corpus), 2) if block else ():
+            for k in np.flatnonzero(np.diff(g.cut)):
+                at = slice(g.cut[k], g.cut[k + 1])
+                payload = frame([squeeze(np.diff(g.names[at], prepend=np.uint64(0))), squeeze(g.learned[at])])
+                for name, x in zip(out, (key[0].as_py(), order, int(k), 0, payload)):
                     out[name].append(x)
         return table(ROW, out)
 
     return run
 
 
-def discounts(c: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, by group, from the group's counts of counts."""
-    n = np.stack([np.bincount(group[c == k], minlength=groups) for k in (1, 2, 3, 4)]).astype(float) + np.array([[1.0], [0.5], [0.3], [0.2]])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.stack([np.clip((k + 1) - (k + 2) * y * n[k + 1] / n[k], 0.05, k + 0.98) for k in range(3)], axis=1)
-
-
-def build(keys: np.ndarray, c: np.ndarray, hot: np.ndarray, size: np.ndarray, words: int) -> Trie:
-    """The trie of distinct sorted pairs with counts; size: the context's count where hot."""
-    context = keys >> np.uint64(32)
-    distinct, rank = np.unique(context, return_inverse=True)
-    rank = rank.ravel()
-    total = np.bincount(rank, c, minlength=len(distinct))
-    is_hot, hot_size = np.zeros(len(distinct), bool), np.zeros(len(distinct))
-    is_hot[rank[hot]] = True
-    hot_size[rank[hot]] = size[hot]
-    total = np.where(is_hot, hot_size, total)
-    group = np.minimum(np.log2(np.maximum(total, 1)).astype(int), 20)
-    d = discounts(c[~is_hot[rank]], group[rank[~is_hot[rank]]], 21)
-    cut = d[group[rank], np.minimum(c, 3) - 1]
-    p = np.where(is_hot[rank], c / (total[rank] + HOT_PRIOR), (c - cut) / total[rank])
-    left = np.bincount(rank, cut, minlength=len(distinct)) / np.maximum(total, 1)
-    return Trie(context, keys & np.uint64(0xFFFFFFFF), p, np.where(is_hot, HOT_PRIOR / (total + HOT_PRIOR), left), words)
-
-
-def _look_up(words: int):
+def build(names: np.ndarray, c: np.ndarray, n_tokens: int, rest: int) -> Trie:
+    """The trie of distinct sorted names with their counts; rest: low bits that name what follows the context."""
+    return Trie(names >> np.uint64(rest), names & np.uint64((1 << rest) - 1), c / n_tokens)
+
+
+def _look_up(corpus: Corpus):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        order, shard = key[0].as_py(), key[1].as_py()
+        rest = 32 if order == 2 else corpus.rest
         asked = []
         for b in group.column("payload").to_pylist():
-            d, c, hot, size = unframe(b)
-            asked.append((np.cumsum(expand(d, "<u8"), dtype=np.uint64), expand(c, "<u4"), expand(hot, "<u4"), expand(size, "<i8")))
-        all_keys = np.concatenate([a[0] for a in asked])
-        order = np.argsort(all_keys, kind="stable")  # merges the sorted lists
-        ranked = all_keys[order]
+            d, c = unframe(b)
+            asked.append((np.cumsum(expand(d, "<u8"), dtype=np.uint64), expand(c, "<u4")))
+        every = np.concatenate([a[0] for a in asked])
+        by = np.argsort(every, kind="stable")  # merges the sorted lists
+        ranked = every[by]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        keys, at = ranked[new], np.empty(len(order), np.int32)
-        at[order] = np.cumsum(new) - 1
-        del all_keys, order, ranked, new
-        c = np.bincount(at, np.concatenate([a[1] for a in asked]), minlength=len(keys)).astype(np.int64)
-        size = np.zeros(len(keys), np.int64)
-        for k, _, hot, n in asked:
-            size[np.searchsorted(keys, k[hot])] = n
+        names, at = ranked[new], np.empty(len(by), np.int32)
+        at[by] = np.cumsum(new) - 1
+        del every, by, ranked, new
+        c = np.bincount(at, np.concatenate([a[1] for a in asked]), minlength=len(names)).astype(np.int64)
         seen = c > 0
-        trie = build(keys[seen], c[seen], np.flatnonzero(size[seen] > 0), size[seen], words).mapped()
-        found = [trie.lookup(keys[s : s + LOOKUPS] >> np.uint64(32), keys[s : s + LOOKUPS] & np.uint64(0xFFFFFFFF)) for s in range(0, len(keys), LOOKUPS)]
-        p, backoff = (np.concatenate(x) for x in zip(*found))
-        out, ends = [], np.cumsum([len(a[0]) for a in asked])
-        for (k, _, _, _), e in zip(asked, ends):
-            own, context = at[e - len(k) : e], k >> np.uint64(32)
-            first = np.concatenate([[True], context[1:] != context[:-1]])
-            out.append(frame([squeeze(p[own]), squeeze(backoff[own[first]])]))
-        return table(ROW, {"block": group.column("block").to_pylist(), "kind": [3] * len(out), "shard": [key[0].as_py()] * len(out), "n": [0] * len(out), "payload": out})
+        trie = build(names[seen], c[seen], max(1, corpus.n_tokens), rest).mapped()
+        low = np.uint64((1 << rest) - 1)
+        codes = np.concatenate([trie.lookup(names[s : s + LOOKUPS] >> np.uint64(rest), names[s : s + LOOKUPS] & low) for s in range(0, len(names), LOOKUPS)])
+        ends = np.cumsum([len(a[0]) for a in asked])
+        out = [squeeze(codes[at[s:e]]) for s, e in zip([0, *ends], ends)]
+        return table(ROW, {"block": group.column("block").to_pylist(), "kind": [order] * len(out), "shard": [shard] * len(out), "n": [0] * len(out), "payload": out})
 
     return run
 
 
-def _score(word_shards: int, base: np.ndarray, n_train: int, n_words: int, n_tokens: int, unknown: int, shards: int, id_type: pa.DataType):
+def counts(codes: np.ndarray, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest count that a code stands for; the same below 220."""
+    near = decode(codes) * n_tokens
+    low = np.ceil(near * (1 - 1e-9) - 1e-9)
+    return low, np.where(codes == NONE, 0, np.maximum(low, np.floor(near * 10.0 ** (1 / STEP) * (1 + 1e-9) + 1e-9)))
+
+
+def _score(corpus: Corpus, id_type: pa.DataType):
     names = ["id", "train", "n_tokens", "n_known", "base_score", "score"]
-    floor = n_tokens + ALPHA * (n_words + 1)
+    floor = corpus.n_tokens + ALPHA * (corpus.n_words + 1)
 
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        block, answers = _read(group, word_shards, base)
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _read(group, corpus)
         if not block:
             return pa.table([pa.array([], t) for t in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        pairs = Pairs(block, n_train, unknown, shards)
-        p, backoff = np.zeros(len(pairs.keys)), np.ones(len(pairs.keys))
-        for k, b in answers.items():
-            at = slice(pairs.cut[k], pairs.cut[k + 1])
-            codes, left = (expand(x, "<u2") for x in unframe(b))
-            context = pairs.keys[at] >> np.uint64(32)
-            run_ = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
-            p[at] = decode(codes)
-            backoff[at] = np.where(left == 0xFFFF, 1.0, decode(left))[run_]
-        low = (pairs.count + ALPHA) / floor
+        got = {(k, s): p for k, s, p in zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "payload")))}
+        _, count, place = block.chains(corpus)
+        p = base = (count + ALPHA) / floor
+        context = np.concatenate([[0], count[:-1]]).astype(float)
+        context[place == 0] = corpus.n_train
+        for order, g in enumerate(grams(block, corpus), 2):
+            codes = np.full(len(g.names) + 1, NONE, "<u2")  # the last is of tokens without an n-gram
+            for k in np.flatnonzero(np.diff(g.cut)):
+                codes[g.cut[k] : g.cut[k + 1]] = expand(got[order, int(k)], "<u2")
+            least, most = counts(codes[g.at], corpus.n_tokens)
+            prior = PRIOR * context**POWER
+            on = context > 0
+            p = np.where(on, (np.minimum(least, context) + prior * p) / np.where(on, context + prior, 1), p)
+            context = np.concatenate([[0], most[:-1]])
+            context[place < order - 1] = 0  # the next order's context would reach beyond the text's start
         first = np.concatenate([[0], np.cumsum(block.n + 1)[:-1]])
         total = lambda x: np.add.reduceat(x, first)  # noqa: E731  every text has its end
-        columns = [block.ids.combine_chunks(), pa.array(block.train), pa.array(block.n + 1), pa.array(total((pairs.count > 0).astype(np.int64)))]
-        return pa.table([*columns, pa.array(total(np.log10(low))), pa.array(total(np.log10(p[pairs.at] + backoff[pairs.at] * low)))], names=names)
+        columns = [block.ids.combine_chunks(), pa.array(block.train), pa.array(block.n + 1), pa.array(total((count > 0).astype(np.int64)))]
+        return pa.table([*columns, pa.array(total(np.log10(base))), pa.array(total(np.log10(p)))], names=names)
 
     return run
 
 
-def score(df: DataFrame, train, id: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, train, id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows where the column `train` holds."""
     source = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = Kept(source.mapInArrow(_blocks, ROW), "lm-blocks").df
-    n_train = source.where("train").count()
-    tokens = blocks.agg(F.sum("n")).first()[0] or 0
-    # distinct words are at most the tokens; as a rule far fewer
-    word_shards = 1 << min(12, max(4, math.ceil(math.log2(max(1, tokens / 16 / SHARD_WORDS)))))
-    dealt = blocks.mapInArrow(_deal_words(word_shards), ROW)
+    blocks = Kept(source.mapInArrow(_blocks, BLOCKS), "lm-blocks").df
+    tokens, n_train, entries = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_train"), F.sum("words")).first())
+    word_shards = 1 << min(BUCKET_BITS, max(0, math.ceil(math.log2(max(1, entries / SHARD_WORDS)))))
+    dealt = blocks.select("block", "payload").mapInArrow(_deal_words(word_shards), ROW)
     words = Kept(dealt.groupBy("shard").applyInArrow(_add_words, ROW), "lm-words").df
     sums = {r["shard"]: (r["n"], *np.frombuffer(r["payload"], "<i8").tolist()) for r in words.where("kind = 2").collect()}  # a row a shard
     per = np.array([sums.get(k, (0, 0, 0))[0] for k in range(word_shards)], np.int64)
-    base = np.concatenate([[0], np.cumsum(per)])
-    unknown = int(base[-1]) + FIRST
-    if unknown >= 1 << 32:
-        raise ValueError("more distinct words than 32-bit word numbers")
-    n_words, n_tokens = sum(x[1] for x in sums.values()) + (n_train > 0), sum(x[2] for x in sums.values()) + n_train
-    shards = max(16, math.ceil(tokens / SHARD_PAIRS))
-    asked = blocks.union(words.where("kind = 1"))
-    pairs = asked.groupBy("block").applyInArrow(_deal_pairs(word_shards, base, n_train, unknown, shards), ROW)
-    codes = pairs.groupBy("shard").applyInArrow(_look_up(unknown + 1), ROW)
-    kind = source.schema["id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    done = asked.union(codes).groupBy("block").applyInArrow(_score(word_shards, base, n_train, n_words, n_tokens, unknown, shards, to_arrow_type(source.schema["id"].dataType)), f"id {kind}, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return done.select(F.col("id").alias(id), "train", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    corpus = Corpus(order, n_train, tokens, per, sum(x[1] for x in sums.values()) + (n_train > 0), sum(x[2] for x in sums.values()) + n_train)
+    asked = blocks.select("block", F.lit(0).alias("kind"), F.lit(0).alias("shard"), "n", "payload").union(words.where("kind = 1"))
+    found = asked.groupBy("block").applyInArrow(_deal_grams(corpus), ROW)
+    codes = found.groupBy("kind", "shard").applyInArrow(_look_up(corpus), ROW)
+    # the same exchange of the blocks is read for dealing and for scoring
+    kind = source.schema["id"].dataType
+    done = asked.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(_score(corpus, to_arrow_type(kind)), f"id {kind.simpleString()}, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return done.select(F.col("id").alias(id), "train", "n_tokens", "n_known", F.lit(corpus.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from stowage.llm import elias_fano, html_text, language_id, line_dedup, lm, packing, pieces, quality, queries, simhash
+from stowage.llm.common import is_train
 from stowage.llm.mph import PerfectHash
 from tests.conftest import DATA, same
 
@@ -526,68 +527,111 @@ def test_elias_fano(values, asked):
 
 def test_trie_over_a_file(tmp_path):
     draw = np.random.default_rng(3)
-    keys = np.unique(draw.integers(0, 300, 4000).astype(np.uint64) << np.uint64(32) | draw.integers(0, 500, 4000).astype(np.uint64))
-    context, word = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
-    p = draw.random(len(keys)) * 0.5 + 1e-6
-    n = len(np.unique(context))
+    names = np.unique(draw.integers(0, 300, 4000).astype(np.uint64) << np.uint64(32) | draw.integers(0, 500, 4000).astype(np.uint64))
+    context, word = names >> np.uint64(32), names & np.uint64(0xFFFFFFFF)
+    p = draw.random(len(names)) * 0.5 + 1e-6
     path = tmp_path / "trie"
-    path.write_bytes(elias_fano.Trie(context, word, p, np.full(n, 0.25), 500).dumps())
+    path.write_bytes(elias_fano.Trie(context, word, p).dumps())
     trie = elias_fano.Trie.over(np.memmap(path, np.uint8, "r"))
-    code, backoff = trie.lookup(context, word)
-    got = elias_fano.decode(code)
-    assert (got <= p * (1 + 1e-6)).all() and (got >= p * 0.99).all() and np.allclose(elias_fano.decode(backoff), 0.25, rtol=0.01)
-    absent = np.array([k for k in range(10) if (5 << 32 | k) not in set(keys.tolist())], np.uint64)
-    assert (trie.lookup(np.full(len(absent), 5, np.uint64), absent)[0] == elias_fano.NONE).all()
-    assert (trie.lookup(np.array([9999], np.uint64), np.array([1], np.uint64))[1] == elias_fano.NONE).all()
-
-
-def test_discounted_probabilities_add_up():
-    draw = np.random.default_rng(5)
-    keys = np.unique(draw.integers(0, 20, 3000).astype(np.uint64) << np.uint64(32) | (draw.zipf(1.5, 3000) % 200).astype(np.uint64))
-    c = draw.zipf(1.7, len(keys)) % 50 + 1
-    trie = lm.build(keys, c, np.zeros(0, int), np.zeros(len(keys), np.int64), 200)
-    context = keys >> np.uint64(32)
-    code, backoff = trie.lookup(context, keys & np.uint64(0xFFFFFFFF))
-    for v in np.unique(context):
-        total = elias_fano.decode(code[context == v]).sum() + elias_fano.decode(backoff[context == v][:1])[0]
-        assert 0.98 < total <= 1 + 1e-9
-
-
-def lm_brute(rows: list[tuple]) -> list[tuple]:
+    got = elias_fano.decode(trie.lookup(context, word))
+    assert (got <= p * (1 + 1e-6)).all() and (got >= p * 0.99).all()
+    there = set(names.tolist())
+    absent = np.array(sorted(set(range(0, 400 << 32, (1 << 32) // 7)) - there), np.uint64)
+    for asked in (absent, np.array([k << 32 | w for k in range(310) for w in range(0, 520, 3) if (k << 32 | w) not in there], np.uint64)):
+        assert (trie.lookup(asked >> np.uint64(32), asked & np.uint64(0xFFFFFFFF)) == elias_fano.NONE).all()
+    assert len(elias_fano.Trie(context[:0], word[:0], p[:0]).mapped().lookup(context[:3], word[:3])) == 3
+
+
+def test_trie_reads_ranges_from_its_pointers():
+    """With other pointers other followers are found."""
+    context, word = np.array([1, 1, 2], np.uint64), np.array([5, 9, 5], np.uint64)
+    trie = elias_fano.Trie(context, word, np.array([0.1, 0.01, 0.001]))
+    assert (trie.lookup(context, word) < elias_fano.NONE).all()
+    trie.pointers = elias_fano.EliasFano(np.array([0, 1, 3]), 4)
+    assert (trie.lookup(context, word) == elias_fano.NONE).tolist() == [False, True, True]
+
+
+def test_codes_of_counts():
+    for n in (1, 7, 1000, 10**6, 10**13):
+        c = np.array(sorted({min(n, x) for x in [*range(1, 220), 221, 999, 5000, 123_456, 10**9]}))
+        low, high = lm.counts(elias_fano.encode(c / n), n)
+        assert (low <= c).all() and (high >= c).all() and (low[c < 220] == high[c < 220]).all() and (high <= 1.006 * c + 1e-9).all()
+    assert [x.tolist() for x in lm.counts(np.array([elias_fano.NONE], "<u2"), 100)] == [[0], [0]]
+
+
+def lm_brute(rows: list[tuple], order: int = lm.ORDER) -> list[tuple]:
+    """(id, tokens, known, N, base score, score) by plain counts; rows (id, text, train)."""
     tokens = [(i, [*(t or "").encode().lower().split(), None], train) for i, t, train in rows]
     c = collections.Counter(w for _, ws, train in tokens if train for w in ws)
     n, v = sum(c.values()), len(c)
-    return [(i, len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws, _ in tokens]
+    followed, gram = collections.Counter(), collections.Counter()
+    for _, ws, train in tokens:
+        for i in range(len(ws)) if train else ():
+            for k in range(2, order + 1):
+                if i >= k - 2:
+                    h = tuple(["<s>", *ws][i + 2 - k : i + 1])
+                    followed[h] += 1
+                    gram[h, ws[i]] += 1
+    out = []
+    for i, ws, _ in tokens:
+        base = model = 0.0
+        for j, w in enumerate(ws):
+            p = (c[w] + 0.1) / (n + 0.1 * (v + 1))
+            base += math.log10(p)
+            for k in range(2, order + 1):
+                if j >= k - 2 and followed[h := tuple(["<s>", *ws][j + 2 - k : j + 1])]:
+                    prior = lm.PRIOR * followed[h] ** lm.POWER
+                    p = (gram[h, w] + prior * p) / (followed[h] + prior)
+            model += math.log10(p)
+        out.append((i, len(ws), sum(c[w] > 0 for w in ws), n, base, model))
+    return out
+
+
+def lm_same(rows: list[dict], want: list[tuple], rtol: float) -> None:
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[5])
+    got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows), key=key)
+    want = sorted(want, key=key)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    assert np.allclose([g[4] for g in got], [w[4] for w in want]) and np.allclose([g[5] for g in got], [w[5] for w in want], rtol=rtol)
 
 
-def test_lm_base(spark):
+def test_lm_scores_are_those_of_plain_counts(spark):
     rows = rows_of(lm.query(spark, DATA))
-    want = lm_brute([(d["doc_id"], d["text"], zlib.crc32(str(d["doc_id"]).encode()) % 10 != 0) for d in documents()])
-    got = sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows)
-    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and np.allclose([g[4] for g in got], [w[4] for w in sorted(want)])
+    train = lambda d: zlib.crc32(str(d).encode()) % 10 != 0
+    lm_same(rows, lm_brute([(d["doc_id"], d["text"], train(d["doc_id"])) for d in documents()]), 1e-3)
+    assert all(r["held_out"] != train(r["doc_id"]) for r in rows)
     held = [r for r in rows if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held) and all(r["score"] < 0 for r in rows)
 
 
-def test_lm_of_odd_rows(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_of_odd_rows(spark, order):
     df = odd_documents(spark)
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
     for train, rule in ((F.col("doc_id") % 2 == 0, lambda d: d is not None and d % 2 == 0), (F.lit(False), lambda d: False)):
-        rows = rows_of(lm.score(df, train))
-        want = sorted(lm_brute([(r["doc_id"], r["text"], rule(r["doc_id"])) for r in rows_of(df)]), key=key)
-        got = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows), key=key)
-        assert [g[:4] for g in got] == [w[:4] for w in want] and np.allclose([g[4] for g in got], [w[4] for w in want])
-    assert lm.score(empty(spark), F.lit(True)).count() == 0
-
-
-def test_lm_hot_contexts_add_up(spark, monkeypatch):
-    """With every context hot, pairs are spread over shards and still give one distribution."""
-    monkeypatch.setattr(lm, "HOT", 1)
-    keys = np.array([1 << 32 | w for w in range(5)], np.uint64)
-    c = np.array([5, 4, 3, 2, 1])
-    trie = lm.build(keys, c, np.arange(5), np.full(5, 15), 10)
-    p, backoff = trie.lookup(keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF))
-    assert elias_fano.decode(p).sum() + elias_fano.decode(backoff)[0] == pytest.approx(1, abs=0.01)
+        rows = rows_of(lm.score(df, train, order=order))
+        lm_same(rows, lm_brute([(r["doc_id"], r["text"], rule(r["doc_id"])) for r in rows_of(df)], order), 1e-3)
+    assert lm.score(empty(spark), F.lit(True), order=order).count() == 0
+
+
+def test_lm_scores_do_not_move_with_shards_and_blocks(spark, monkeypatch):
+    """Many small blocks and shards, so that every context's followers are spread, give the same scores."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plain = {r["doc_id"]: r["score"] for r in rows_of(lm.score(docs, is_train("doc_id", *lm.HELD)))}
+    monkeypatch.setattr(lm, "SHARD_WORDS", 2_000)
+    monkeypatch.setattr(lm, "SHARD_GRAMS", 5_000)
+    got = {r["doc_id"]: r["score"] for r in rows_of(lm.score(docs.repartition(24), is_train("doc_id", *lm.HELD)))}
+    assert got.keys() == plain.keys() and all(abs(got[d] - plain[d]) < 1e-9 * abs(plain[d]) for d in plain)
+
+
+def test_lm_probabilities_add_up(spark):
+    """Over all known words, the end and the unknown word, after several contexts."""
+    train = [(i, t) for i, t in enumerate(["a b a b c", "a b b", "c a b a", "b", ""])]
+    asked = [(100 + i, f"{h}{w}") for i, (h, w) in enumerate((h, w) for h in ("", "a ", "a b ", "q ", "c a b ") for w in ("a", "b", "c", "zz"))]
+    asked += [(200 + i, h) for i, h in enumerate(("", "a", "a b", "q", "c a b"))]
+    df = spark.createDataFrame(train + asked, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in rows_of(lm.score(df, F.col("doc_id") < 100))}
+    want = {i: m for i, *_, m in lm_brute([(i, t, i < 100) for i, t in train + asked])}
+    assert all(abs(score[i] - want[i]) < 1e-6 for i in want)
 
 
 def test_kept_hash_is_of_the_kept_text(spark):
