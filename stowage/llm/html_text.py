@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, frame, rows, texts_of, unframe
+from .common import Kept, balanced, frame, rows, texts_of, unframe
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
@@ -384,7 +384,7 @@ def _settle(batches):
 def shared_lines(keyed: DataFrame) -> DataFrame:
     """keyed(host, path, id, digest, html) to (id, digest, drops): places of the lines that a page shares with its partner, if there are any."""
     kind = keyed.schema["id"].dataType.simpleString()
-    signed = keyed.select("host", "path", "id", "digest", "html").mapInArrow(_sign, f"host string, path string, id {kind}, digest binary, lines binary")
+    signed = balanced(keyed.select("host", "path", "id", "digest", "html")).mapInArrow(_sign, f"host string, path string, id {kind}, digest binary, lines binary")
     order = ["host", "path", "id", "digest"]
     ranged = signed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "digest", "lines")
     found = Kept(ranged.mapInArrow(_runs, f"kind int, part int, edge int, id {kind}, digest binary, drops array<int>, payload binary"), "page-runs").df
@@ -410,7 +410,7 @@ def extract(df: DataFrame, id: str = "page_id", url: str = "url", html: str = "h
     drops = shared_lines(keyed.withColumn("host", host).withColumn("path", path)).withColumnsRenamed({"id": "_id", "digest": "_digest"})
     kind = source.schema["id"].dataType.simpleString()
     joined = keyed.join(drops.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    return joined.select("id", "url", "html", "drops").mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id)
+    return balanced(joined.select("id", "url", "html", "drops"), source).mapInArrow(_extract, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, expand, folded, frame, free, map_batches, own_columns, rows, slices, squeeze, table, texts_of, unframe
+from .common import Kept, balanced, expand, folded, frame, free, map_batches, own_columns, rows, slices, squeeze, table, texts_of, unframe
 from .mph import PerfectHash
 
 MIN_DOCS = 10
@@ -141,7 +141,7 @@ def common_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_docs
     """df with one more column `into`: hashes of the document's lines that at least min_docs documents hold; null if there are none."""
     a, b = free(df, "line_mark", "line_size")
     marked = df.withColumn(a, F.xxhash64(F.col(id), F.col(text))).withColumn(b, F.coalesce(F.length(text), F.lit(-1)).cast("long"))
-    blocks = Kept(marked.select(a, b, text).mapInArrow(_blocks, "block long, n_keys long, payload binary"), "line-blocks").df
+    blocks = Kept(balanced(marked.select(a, b, text)).mapInArrow(_blocks, "block long, n_keys long, payload binary"), "line-blocks").df
     shards = max(8, math.ceil((blocks.agg(F.sum("n_keys")).first()[0] or 0) / SHARD_KEYS))
     dealt = blocks.select("block", "payload").mapInArrow(_deal(shards), "shard int, block long, payload binary")
     answers = dealt.groupBy("shard").applyInArrow(_probe(min_docs), "block long, shard int, payload binary")
@@ -171,7 +171,7 @@ def dedup(df: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int =
         got = [without(t, d) for t, d in zip(texts_of(batch.column(at)), batch.column(drops).to_pylist())]
         return {into[0]: [g[2] for g in got], into[1]: [g[0] for g in got], into[2]: [g[1] for g in got]}
 
-    return map_batches(found, f"{into[0]} string, {into[1]} long, {into[2]} long", run).drop(own)
+    return map_batches(found, f"{into[0]} string, {into[1]} long, {into[2]} long", run, like=df).drop(own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -182,7 +182,7 @@ def query(spark, sf_dir: str) -> DataFrame:
         got = [without(t, d) for t, d in zip(texts_of(batch.column(1)), batch.column(2).to_pylist())]
         return {"n_lines": [g[0] for g in got], "n_dropped": [g[1] for g in got], "kept_sha256": [hashlib.sha256(g[2].encode("utf-8", "surrogatepass")).hexdigest() for g in got]}
 
-    return map_batches(found.select("doc_id", "text", "drops"), "n_lines long, n_dropped long, kept_sha256 string", run).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return map_batches(found.select("doc_id", "text", "drops"), "n_lines long, n_dropped long, kept_sha256 string", run, like=docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Kept, expand, frame, is_train, rows, slices, squeeze, table, unframe
+from .common import Kept, balanced, expand, frame, is_train, rows, slices, squeeze, table, unframe
 from .elias_fano import NONE, STEP, Trie, decode
 
 HELD = (10, 0)
@@ -322,7 +322,7 @@ def _score(corpus: Corpus, id_type: pa.DataType):
 def score(df: DataFrame, train, id: str = "doc_id", text: str = "text", order: int = ORDER) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows where the column `train` holds."""
     source = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    blocks = Kept(source.mapInArrow(_blocks, BLOCKS), "lm-blocks").df
+    blocks = Kept(balanced(source).mapInArrow(_blocks, BLOCKS), "lm-blocks").df
     tokens, n_train, entries = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_train"), F.sum("words")).first())
     word_shards = 1 << min(BUCKET_BITS, max(0, math.ceil(math.log2(max(1, entries / SHARD_WORDS)))))
     dealt = blocks.select("block", "payload").mapInArrow(_deal_words(word_shards), ROW)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Kept, arrow_schema, map_batches, texts_of
+from .common import Kept, arrow_schema, balanced, map_batches, texts_of
 
 SEQ = 1024
 END = 2
@@ -49,19 +49,23 @@ def vocabulary() -> str:
 @functools.cache
 def encoder(path: str):
     """encode(text) to ids, as tokenizers gives them for the file. Where the same vocabulary lies beside it as ranks, tiktoken encodes (several times as fast) all but texts with a special token."""
-    from tokenizers import Tokenizer
+    @functools.cache
+    def whole():
+        from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
-    slow = lambda text: whole.encode(text, add_special_tokens=False).ids
+        return Tokenizer.from_file(path)
+
+    slow = lambda text: whole().encode(text, add_special_tokens=False).ids
     ranks = Path(path).with_suffix(".tiktoken")
     if Path(path).name != "byte_bpe_50k.json" or not ranks.exists():
         return slow
     import base64
+    import json
 
     import public_tokenizers
     import tiktoken
 
+    special = [t["content"] for t in json.loads(Path(path).read_bytes())["added_tokens"]]
     with ranks.open("rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
@@ -96,7 +100,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", seq: int = SEQ, en
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, f.type) for x, f in zip(zip(*made) if made else [[]] * 4, added))], names=[*rest, *added.names])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.mapInArrow(run, f"{schema}, {PIECES}" if rest else PIECES)
+    return balanced(df).mapInArrow(run, f"{schema}, {PIECES}" if rest else PIECES)
 
 
 def price(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

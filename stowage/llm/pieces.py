@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows, slices
+from .common import balanced, rows, slices
 
 SPACE = "▁"
 BLOCK_BYTES = 8 << 20
@@ -269,7 +269,7 @@ def _over(df: DataFrame, path: str | None, id: str, text: str, added: str, resul
                 made = rows(added, result(ids, at, part, decode(m, ids, at)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), *made.columns], names=["id", *made.schema.names])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {added}").withColumnRenamed("id", id)
+    return balanced(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {added}").withColumnRenamed("id", id)
 
 
 def _digest(ids: np.ndarray, at: np.ndarray, texts: pa.Array, raw: list[bytes]) -> dict:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, expand, free, map_batches, own_columns, row_hash, rows, sized, squeeze, table, texts_of
+from .common import Kept, balanced, expand, free, map_batches, own_columns, row_hash, rows, sized, squeeze, table, texts_of
 from .components import local_stars, stars
 
 TAU = 4
@@ -41,8 +41,8 @@ NEAR, NEAR_WORDS = 0.8, 5
 BANDS, DEPTH = 32, 5
 #: Bits kept of a shingle's hash where sets are compared.
 SET_BITS = 48
-#: Rounds in which the members of a list are held against one of them.
-ROUNDS = 3
+#: Members of a list that the others are held against first.
+CENTRES = 2
 #: Bound of the sample that the parts are fitted to.
 SAMPLE = 20_000
 #: A list longer than this is cut into chunks of this many.
@@ -84,7 +84,7 @@ def fingerprints(df: DataFrame, id: str = "doc_id", text: str = "text", width: i
             yield type(batch).from_arrays([batch.column(0), rows("fp long", {"fp": fp}).column(0)], names=["id", "fp"])
 
     source = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
+    return balanced(source).mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -333,23 +333,23 @@ def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return table("a long, b long", {"a": a, "b": b})
 
 
-def near_links(lists: DataFrame, sets: DataFrame, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
+def near_links(lists: DataFrame, sets: DataFrame, centres: int = CENTRES, chunk: int = CHUNK) -> DataFrame:
     """lists(key, mark): members of bands that more than one has; sets(mark, set). Gives (a, b): links whose components are
     those of all verified pairs that share a band.
 
-    In each round a list's members are held against one of them, another each time, if they are not of its component yet:
-    at most as many pairs as members. What is of several components after that is compared within one task a list, a long
-    list in pairs of its chunks; such a task gives links only, not pairs.
+    First a list's members are held against a few of them: a fixed number of pairs a member. What is of several components
+    after that is compared within one task a list, a long list in pairs of its chunks; such a task gives links, not pairs.
     """
     n, tree = lists.count(), None
     member = lists.select("key", "mark", F.col("mark").alias("root"))
-    for k in range(rounds):
-        centre = member.groupBy("key").agg(F.min(F.struct(F.xxhash64("mark", F.lit(k)).alias("h"), "mark", "root")).alias("c")).select("key", F.col("c.mark").alias("m"), F.col("c.root").alias("r"))
-        pairs = member.join(centre, "key").where("root <> r").select(F.least("mark", "m").alias("a"), F.greatest("mark", "m").alias("b")).distinct()
+    if centres:
+        place = lambda k: F.min(F.struct(F.xxhash64("mark", F.lit(k)).alias("h"), "mark"))["mark"]
+        middle = lists.groupBy("key").agg(F.array(*[place(k) for k in range(centres)]).alias("m"))
+        pairs = lists.select("key", "mark").join(middle, "key").select("mark", F.explode("m").alias("m")).where("mark <> m")
+        pairs = pairs.select(F.least("mark", "m").alias("a"), F.greatest("mark", "m").alias("b")).distinct()
         full = sized(pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb"), n, 1 << 14)
         found = Kept(full.mapInArrow(_verify, "a long, b long"), "near-links").df
-        known = found if tree is None else found.union(tree)
-        tree = stars(known, known=known.count()).df
+        tree = stars(found, known=found.count()).df
         member, n = _mixed(lists, tree, n)
         if not n:
             return tree
@@ -398,7 +398,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     left = own.join(Kept(sized(goes, n, 1 << 18), "near-goes").df.toDF(one, two), [one, two], "left_anti")
     if not marked.groupBy("one", "two").count().where("count > 1").isEmpty():
         left = left.dropDuplicates([one, two])
-    return left.select(*own_columns(docs))
+    return balanced(left.select(*own_columns(docs)), docs)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ CELLS = 4 << 20
 #: Share of a tile's pairs from which a matrix product costs less than products pair by pair.
 SPARSE = 0.03
 #: Candidates scored at each level for what a query can reach, in k.
-PROBES = 16
+PROBES = 4
 
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:

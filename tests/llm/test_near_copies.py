@@ -60,10 +60,10 @@ def test_bands_meet_at_the_bound():
         assert (simhash.bands(x[:100]) == simhash.bands(x[11:])).any()  # 89 of 110 are shared
 
 
-@pytest.mark.parametrize("rounds, chunk", [(0, 2048), (0, 5), (1, 2048), (3, 2048)])
-def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, rounds, chunk):
+@pytest.mark.parametrize("centres, chunk", [(0, 2048), (0, 5), (1, 2048), (2, 2048)])
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, centres, chunk):
     """Groups about the bound: chains of edits, a wide group whose members are alike only in part; in any way of comparing."""
-    monkeypatch.setattr(simhash.near_links, "__defaults__", (rounds, chunk))
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (centres, chunk))
     draw = random.Random(12)
     docs, text = [], lambda ws: " ".join(ws)
     for g in range(8):
