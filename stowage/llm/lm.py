@@ -14,8 +14,9 @@ block's n-grams in it; what goes back is a 16-bit code an n-gram. All counts cov
 number, not in size, with the corpus. Codes are 1/512 of a decade: counts below 220 come back exactly, larger ones to half
 a per cent, a context's rounded up and an n-gram's down, so that probabilities never add up to more than 1.
 
-N-grams of order 3 and more are named by hashes whose width follows the number of tokens, some bits of the context and three
-times as many of context and word: an n-gram shares its name with another with a probability of about 2 ** -NAME_BITS.
+N-grams are named by hashes whose width follows the number of tokens, some bits of the context and three times as many of
+context and word: an n-gram shares its name with another with a probability of about 2 ** -NAME_BITS. The last bits of a
+name are its shard, so they need not travel.
 
 Defined cases: null texts are empty and have one token, the end; an empty table gives no rows. Without training texts N
 and V are 0, and every token gets the probability 1 of the unknown word. Rows that repeat count and are scored each. A very
@@ -49,10 +50,10 @@ SHARD_WORDS, SHARD_GRAMS = 400_000, 2_000_000
 LOOKUPS = 1 << 15
 #: Word lists are ordered by this many hash buckets first; a power of two of shards divides them.
 BUCKET_BITS = 24
-NAME_BITS = 20
+NAME_BITS = 16
 START, END, FIRST = 0, 1, 2
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-BLOCKS = "block long, n long, n_train long, words long, payload binary"
+BLOCKS = "block long, n long, n_train long, n_words long, words binary, payload binary"
 ROW = "block long, kind int, shard int, n long, payload binary"
 
 
@@ -75,7 +76,7 @@ def _bucket(words: pa.Array) -> np.ndarray:
 
 
 def _blocks(batches):
-    """Block rows: ids, tokens by text, whether learned from, word numbers, and the words ordered by bucket and bytes."""
+    """Block rows: ids, tokens by text, whether learned from, word numbers and the words' buckets; and the words, ordered by bucket and bytes, with their counts."""
     block = TaskContext.get().partitionId() << 32
     for batch in batches:
         texts = batch.column(1).fill_null("")
@@ -92,8 +93,9 @@ def _blocks(batches):
             learned = np.repeat(train[s:e], n)
             codes = place[codes] if len(codes) else np.zeros(0, "<u4")
             counts = np.bincount(codes[learned], minlength=len(words)).astype("<u4")
-            payload = frame([_ids(ids.slice(s, e - s)), squeeze(n.astype("<u4")), np.packbits(train[s:e]).tobytes(), squeeze(codes), squeeze(np.frombuffer(b"\n".join(words.to_pylist()), np.uint8)), squeeze(counts)])
-            yield rows(BLOCKS, {"block": [block], "n": [len(codes) + e - s], "n_train": [int(train[s:e].sum())], "words": [len(words)], "payload": [payload]})
+            payload = frame([_ids(ids.slice(s, e - s)), squeeze(n.astype("<u4")), np.packbits(train[s:e]).tobytes(), squeeze(codes), squeeze(np.diff(_bucket(words), prepend=0).astype("<u4"))])
+            listed = frame([squeeze(np.frombuffer(b"\n".join(words.to_pylist()), np.uint8)), squeeze(counts)])
+            yield rows(BLOCKS, {"block": [block], "n": [len(codes) + e - s], "n_train": [int(train[s:e].sum())], "n_words": [len(words)], "words": [listed], "payload": [payload]})
             block += 1
 
 
@@ -123,33 +125,30 @@ class Corpus:
         self.unknown = int(self.base[-1]) + FIRST
         if self.unknown >= 1 << 32:
             raise ValueError("more distinct words than 32-bit word numbers")
-        self.shards = max(1, math.ceil(tokens / SHARD_GRAMS))
+        self.shards = 1 << max(0, math.ceil(math.log2(max(1, tokens / SHARD_GRAMS))))
+        self.last = np.uint64(self.shards.bit_length() - 1)  # bits of a name that are its shard
         width = min(64, max(1, tokens).bit_length() + NAME_BITS)
         self.lead = width // 4  # bits of a name that are of the context alone; contexts may share them
         self.rest = width - self.lead  # bits that tell apart all that follows them
 
 
 class Block:
-    """A block row read back; with answers of the word shards also the words' numbers and counts."""
+    """A block row read back, with the words' numbers and counts from the answers of the word shards."""
 
-    def __init__(self, payload: bytes, answers: dict[int, bytes] | None = None, shards: int = 1, base: np.ndarray | None = None):
+    def __init__(self, payload: bytes, answers: dict[int, bytes], shards: int, base: np.ndarray):
         p = unframe(payload)
         self.ids = pa.ipc.open_stream(p[0]).read_all().column(0)
         self.n = expand(p[1], "<u4").astype(np.int64)
         self.train = np.unpackbits(np.frombuffer(p[2], np.uint8), count=len(self.n)).astype(bool)
         self.codes = expand(p[3], "<u4")
-        raw = expand(p[4], np.uint8).tobytes()
-        self.words = pa.array(raw.split(b"\n") if raw else [], pa.binary())
-        self.counts = expand(p[5], "<u4")
-        shard = _bucket(self.words) * shards >> BUCKET_BITS
-        self.cut = np.searchsorted(shard, np.arange(shards + 1))
-        if answers is not None:
-            self.number, self.total = np.full(len(self.words), -1, np.int64), np.zeros(len(self.words), np.int64)
-            for k, b in answers.items():
-                number, total = unframe(b)
-                at, total = slice(self.cut[k], self.cut[k + 1]), expand(total, "<i8")
-                self.number[at] = np.where(total > 0, np.cumsum(expand(number, "<u4"), dtype=np.int64) + base[k] + FIRST, -1)
-                self.total[at] = total
+        bucket = np.cumsum(expand(p[4], "<u4"), dtype=np.int64)
+        cut = np.searchsorted(bucket * shards >> BUCKET_BITS, np.arange(shards + 1))
+        self.number, self.total = np.full(len(bucket), -1, np.int64), np.zeros(len(bucket), np.int64)
+        for k, b in answers.items():
+            number, total = unframe(b)
+            at, total = slice(cut[k], cut[k + 1]), expand(total, "<i8")
+            self.number[at] = np.where(total > 0, np.cumsum(expand(number, "<u4"), dtype=np.int64) + base[k] + FIRST, -1)
+            self.total[at] = total
 
     def chains(self, corpus: Corpus) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of every token, ends included: number (`unknown` for unknown words), count, and place in its text."""
@@ -164,11 +163,14 @@ class Block:
 def _deal_words(shards: int):
     def run(batches):
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                b = Block(payload, shards=shards)
-                full = np.flatnonzero(np.diff(b.cut))
-                parts = [slice(b.cut[k], b.cut[k + 1]) for k in full]
-                dealt = [frame([squeeze(np.frombuffer(b"\n".join(b.words[at].to_pylist()), np.uint8)), squeeze(b.counts[at])]) for at in parts]
+            for block, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                raw, counts = unframe(listed)
+                raw, counts = expand(raw, np.uint8).tobytes(), expand(counts, "<u4")
+                words = pa.array(raw.split(b"\n") if raw else [], pa.binary())
+                cut = np.searchsorted(_bucket(words) * shards >> BUCKET_BITS, np.arange(shards + 1))
+                full = np.flatnonzero(np.diff(cut))
+                parts = [slice(cut[k], cut[k + 1]) for k in full]
+                dealt = [frame([squeeze(np.frombuffer(b"\n".join(words[at].to_pylist()), np.uint8)), squeeze(counts[at])]) for at in parts]
                 yield rows(ROW, {"block": [block] * len(full), "kind": [1] * len(full), "shard": full, "n": [0] * len(full), "payload": dealt})
 
     return run
@@ -203,35 +205,31 @@ def _read(group: pa.Table, corpus: Corpus) -> Block | None:
 class Grams:
     """The distinct n-grams of one order in a block that can have been learned, ordered by shard and name, and where each token's is among them (-1: it has none)."""
 
-    def __init__(self, names: np.ndarray, has: np.ndarray, learned: np.ndarray, shards: int):
-        found, at = np.unique(names[has], return_inverse=True)
-        shard = (_mix(found * _P) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.names, self.at = found[order], np.full(len(names), -1, np.int64)
-        self.at[has] = back[at.ravel()]
-        self.cut = np.searchsorted(shard[order], np.arange(shards + 1))
-        self.learned = np.bincount(self.at[has & learned], minlength=len(order)).astype("<u4")
+    def __init__(self, names: np.ndarray, has: np.ndarray, learned: np.ndarray, corpus: Corpus):
+        shard = names & np.uint64(corpus.shards - 1)
+        ordered = (names >> corpus.last) | (shard << (np.uint64(64) - corpus.last)) if corpus.shards > 1 else names  # a name's last bits come first
+        found, at = np.unique(ordered[has], return_inverse=True)
+        self.at = np.full(len(names), -1, np.int64)
+        self.at[has] = at.ravel()
+        self.cut = np.searchsorted(found >> (np.uint64(64) - corpus.last), np.arange(corpus.shards + 1)) if corpus.shards > 1 else np.array([0, len(found)])
+        self.names = found & (np.uint64(0xFFFFFFFFFFFFFFFF) >> corpus.last)  # without the shard
+        self.learned = np.bincount(self.at[has & learned], minlength=len(found)).astype("<u4")
 
 
 def grams(block: Block, corpus: Corpus):
-    """Of each order from 2 the Grams. A name's high bits are of the context, its low bits of what follows it there."""
+    """Of each order from 2 the Grams. A name's high bits are of the context, its low bits of the context and what follows it."""
     own, _, place = block.chains(corpus)
     learned = np.repeat(block.train, block.n + 1)
     known = own != np.uint64(corpus.unknown)
     before = np.concatenate([np.array([START], np.uint64), own[:-1]])
     before[place == 0] = START
-    names = (before << np.uint64(32)) | own
-    has = known & (before != np.uint64(corpus.unknown))
-    whole = _mix(names)
+    has, context = known & (before != np.uint64(corpus.unknown)), _mix(before)
     for order in range(2, corpus.order + 1):
         if order > 2:
-            context = np.concatenate([np.zeros(1, np.uint64), whole[:-1]])
-            whole = _mix(context * _P + own)
             has = known & (place >= order - 2) & np.concatenate([[False], has[:-1]])
-            names = ((context >> np.uint64(64 - corpus.lead)) << np.uint64(corpus.rest)) | (whole >> np.uint64(64 - corpus.rest))
-        yield Grams(names, has, learned, corpus.shards)
+            context = np.concatenate([np.zeros(1, np.uint64), whole[:-1]])  # noqa: F821  the last round's n-gram is this round's context
+        whole = _mix(context * _P + own)
+        yield Grams(((context >> np.uint64(64 - corpus.lead)) << np.uint64(corpus.rest)) | (whole >> np.uint64(64 - corpus.rest)), has, learned, corpus)
 
 
 def _deal_grams(corpus: Corpus):
@@ -257,7 +255,7 @@ def build(names: np.ndarray, c: np.ndarray, n_tokens: int, rest: int) -> Trie:
 def _look_up(corpus: Corpus):
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         order, shard = key[0].as_py(), key[1].as_py()
-        rest = 32 if order == 2 else corpus.rest
+        rest = corpus.rest - int(corpus.last)
         asked = []
         for b in group.column("payload").to_pylist():
             d, c = unframe(b)
@@ -323,9 +321,9 @@ def score(df: DataFrame, train, id: str = "doc_id", text: str = "text", order: i
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows where the column `train` holds."""
     source = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = Kept(balanced(source).mapInArrow(_blocks, BLOCKS), "lm-blocks").df
-    tokens, n_train, entries = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_train"), F.sum("words")).first())
+    tokens, n_train, entries = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_train"), F.sum("n_words")).first())
     word_shards = 1 << min(BUCKET_BITS, max(0, math.ceil(math.log2(max(1, entries / SHARD_WORDS)))))
-    dealt = blocks.select("block", "payload").mapInArrow(_deal_words(word_shards), ROW)
+    dealt = blocks.select("block", "words").mapInArrow(_deal_words(word_shards), ROW)
     words = Kept(dealt.groupBy("shard").applyInArrow(_add_words, ROW), "lm-words").df
     sums = {r["shard"]: (r["n"], *np.frombuffer(r["payload"], "<i8").tolist()) for r in words.where("kind = 2").collect()}  # a row a shard
     per = np.array([sums.get(k, (0, 0, 0))[0] for k in range(word_shards)], np.int64)

@@ -595,7 +595,8 @@ def lm_same(rows: list[dict], want: list[tuple], rtol: float) -> None:
     assert np.allclose([g[4] for g in got], [w[4] for w in want]) and np.allclose([g[5] for g in got], [w[5] for w in want], rtol=rtol)
 
 
-def test_lm_scores_are_those_of_plain_counts(spark):
+def test_lm_scores_are_those_of_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm, "NAME_BITS", 30)  # so that no n-gram shares its name
     rows = rows_of(lm.query(spark, DATA))
     train = lambda d: zlib.crc32(str(d).encode()) % 10 != 0
     lm_same(rows, lm_brute([(d["doc_id"], d["text"], train(d["doc_id"])) for d in documents()]), 1e-3)
@@ -605,7 +606,8 @@ def test_lm_scores_are_those_of_plain_counts(spark):
 
 
 @pytest.mark.parametrize("order", [1, 2, 3, 4])
-def test_lm_of_odd_rows(spark, order):
+def test_lm_of_odd_rows(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "NAME_BITS", 30)
     df = odd_documents(spark)
     for train, rule in ((F.col("doc_id") % 2 == 0, lambda d: d is not None and d % 2 == 0), (F.lit(False), lambda d: False)):
         rows = rows_of(lm.score(df, train, order=order))
@@ -613,9 +615,18 @@ def test_lm_of_odd_rows(spark, order):
     assert lm.score(empty(spark), F.lit(True), order=order).count() == 0
 
 
+def test_lm_names_are_shared_rarely(spark, monkeypatch):
+    """With the bits of production hardly a score moves."""
+    plain = {r["doc_id"]: r["score"] for r in rows_of(lm.query(spark, DATA))}
+    monkeypatch.setattr(lm, "NAME_BITS", 40)
+    exact = {r["doc_id"]: r["score"] for r in rows_of(lm.query(spark, DATA))}
+    assert sum(abs(plain[d] - exact[d]) > 1e-3 * abs(exact[d]) for d in exact) <= 0.05 * len(exact)
+
+
 def test_lm_scores_do_not_move_with_shards_and_blocks(spark, monkeypatch):
     """Many small blocks and shards, so that every context's followers are spread, give the same scores."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    monkeypatch.setattr(lm, "NAME_BITS", 40)
     plain = {r["doc_id"]: r["score"] for r in rows_of(lm.score(docs, is_train("doc_id", *lm.HELD)))}
     monkeypatch.setattr(lm, "SHARD_WORDS", 2_000)
     monkeypatch.setattr(lm, "SHARD_GRAMS", 5_000)
