@@ -52,13 +52,13 @@ def sized(df: DataFrame, rows_: int, per: int) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows_ / per)))
 
 
-def balanced(df: DataFrame, like: DataFrame | None = None, per: int = 32 << 20) -> DataFrame:
-    """df for work in Python: on all cores where a scan gives fewer partitions, and not in many more than its size asks for,
-    so that small files are read, and results written, by few tasks. like: what df is about as large as, if Spark knows the
+def balanced(df: DataFrame, like: DataFrame | None = None, per: int = 128 << 20) -> DataFrame:
+    """df for work in Python: on all cores where a scan gives fewer partitions, and not in more than cores and size ask for, so
+    that small files are read, and results written, by few tasks. like: what df is about as large as, if Spark knows the
     size of that better."""
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
     size = int(str((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = min(1 << 30, max(2 * cores, -(-size // per)))
+    most = min(1 << 30, max(cores, -(-size // per)))
     if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df.coalesce(most)
     parts = plan.toRdd().getNumPartitions()

@@ -146,7 +146,7 @@ def common_lines(df: DataFrame, id: str = "doc_id", text: str = "text", min_docs
     dealt = blocks.select("block", "payload").mapInArrow(_deal(shards), "shard int, block long, payload binary")
     answers = dealt.groupBy("shard").applyInArrow(_probe(min_docs), "block long, shard int, payload binary")
     drops = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(shards), "mark long, size long, drops array<long>")
-    once = Kept(drops.groupBy("mark", "size").agg(F.first("drops").alias("drops")), "line-drops").df
+    once = Kept(balanced(drops.groupBy("mark", "size").agg(F.first("drops").alias("drops")), df), "line-drops").df
     return marked.join(once.hint("shuffle_hash").withColumnsRenamed({"mark": a, "size": b, "drops": into}), [a, b], "left").drop(a, b)
 
 
