@@ -47,8 +47,8 @@ def combine(c1: int, c2: int, n: int) -> int:
     return multiply(shift(n), c1) ^ c2
 
 
-#: Bits of a length: part sizes stay below 2^LENGTH_BITS.
-LENGTH_BITS = 48
+#: Bits of a length, all that a long has.
+LENGTH_BITS = 63
 
 
 def _products() -> list[int]:

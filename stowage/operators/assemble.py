@@ -7,14 +7,39 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.crc import combine_col
+from ..shared import keep
 
+#: Blocks of a file whose checksums are combined in one step.
+FAN = 1 << 10
 
-def assemble(blocks: DataFrame) -> DataFrame:
-    """blocks(file_id, block_index, crc32, uncompressed, compressed) to one row per file with the whole file's CRC."""
-    ordered = F.sort_array(F.collect_list(F.struct("block_index", "crc32", "uncompressed")))
-    crc = F.aggregate("_blocks", F.lit(0).cast("long"), lambda whole, b: F.when(b["block_index"] == 0, b["crc32"]).otherwise(combine_col(whole, b["crc32"], b["uncompressed"])))
-    sums = blocks.groupBy("file_id").agg(ordered.alias("_blocks"), F.sum("uncompressed").alias("uncompressed"), F.sum("compressed").alias("compressed"))
-    return sums.select("file_id", F.size("_blocks").alias("blocks"), crc.alias("file_crc32"), "uncompressed", "compressed")
+
+def _fold(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """parts(keys, order, blocks, crc32, uncompressed, compressed) to one row per keys: checksums combine in order, numbers add up."""
+    ordered = F.sort_array(F.collect_list(F.struct(order, "crc32", "uncompressed")))
+    crc = F.aggregate(F.slice("_parts", 2, F.size("_parts")), F.element_at("_parts", 1)["crc32"], lambda whole, b: combine_col(whole, b["crc32"], b["uncompressed"]))
+    sums = parts.groupBy(*keys).agg(ordered.alias("_parts"), *[F.sum(c).alias(c) for c in ("blocks", "uncompressed", "compressed")])
+    return sums.select(*keys, "blocks", F.when(F.size("_parts") == 1, F.element_at("_parts", 1)["crc32"]).otherwise(crc).alias("crc32"), "uncompressed", "compressed")
+
+
+def assemble(blocks: DataFrame, fan: int = FAN) -> DataFrame:
+    """blocks(file_id, block_index, crc32, uncompressed, compressed) to one row per file with the whole file's CRC.
+
+    Checksums combine in ranges of `fan` blocks first, then over a file's ranges, so the blocks of a large file are spread
+    over tasks and no list is longer than `fan` blocks or a file's ranges.
+    """
+    parts = blocks.select("file_id", "block_index", F.lit(1).cast("long").alias("blocks"), "crc32", "uncompressed", "compressed").withColumn("_range", F.floor(F.col("block_index") / F.lit(fan)))
+    whole = _fold(_fold(parts, ["file_id", "_range"], "block_index"), ["file_id"], "_range")
+    return whole.select("file_id", F.col("blocks").cast("int").alias("blocks"), F.col("crc32").alias("file_crc32"), "uncompressed", "compressed")
+
+
+def ratio(uncompressed: Column, compressed: Column) -> Column:
+    """Compressed over uncompressed bytes; null without input."""
+    return F.when(uncompressed > 0, compressed / uncompressed)
+
+
+def saved_percent(uncompressed: Column, compressed: Column) -> Column:
+    """The share of bytes saved, in per cent; null without input."""
+    return 100 * (1 - ratio(uncompressed, compressed))
 
 
 def before(df: DataFrame, value: Column | str, order: str, into: str, bucket: int = 1 << 17) -> DataFrame:
@@ -30,12 +55,14 @@ def before(df: DataFrame, value: Column | str, order: str, into: str, bucket: in
     return rows.withColumn("_own", own).join(starts, "_range").withColumn(into, F.col("_start") + F.col("_own")).drop("_value", "_range", "_own", "_start")
 
 
-def numbered(df: DataFrame, lead: list[str], rest: list[str], into: str) -> DataFrame:
-    """Numbers rows from 0 by (lead, rest). Rows are numbered within each lead; only counts go through one window."""
-    counts = df.groupBy(*lead).agg(F.count("*").alias("_n"))
-    starts = counts.select(*lead, (F.sum("_n").over(W.orderBy(*lead)) - F.col("_n")).alias("_start"))
-    own = F.row_number().over(W.partitionBy(*lead).orderBy(*rest)) - 1
-    return df.withColumn("_own", own).join(starts, lead).withColumn(into, (F.col("_start") + F.col("_own")).cast("long")).drop("_own", "_start")
+def numbered(df: DataFrame, keys: list[str], into: str) -> DataFrame:
+    """Numbers rows from 0 by the keys. Rows are dealt to ranges of the keys, written once so that the ranges stay what they
+    are, and numbered within them; only one count a range goes through one window."""
+    ranged = keep(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "numbered")
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    starts = counts.select("_range", (F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*keys)) - 1
+    return ranged.withColumn("_own", own).join(starts, "_range").withColumn(into, (F.col("_start") + F.col("_own")).cast("long")).drop("_own", "_start", "_range")
 
 
 def job_stats(files: DataFrame) -> DataFrame:
@@ -46,9 +73,10 @@ def job_stats(files: DataFrame) -> DataFrame:
 
 
 def progress(files: DataFrame, bucket: int = 1 << 17) -> DataFrame:
-    """files(ordinal, size_bytes) with what is done after each: files, bytes and percent."""
-    done = before(before(files, "size_bytes", "ordinal", "_bytes", bucket), F.lit(1), "ordinal", "_files", bucket)
+    """files(ordinal, size_bytes, compressed) with what is done after each: files, bytes, output bytes and percent."""
+    done = before(before(before(files, "size_bytes", "ordinal", "_bytes", bucket), F.lit(1), "ordinal", "_files", bucket), "compressed", "ordinal", "_output", bucket)
     rows = done.withColumn("total_files", files.agg(F.count("*")).scalar()).withColumn("total_bytes", files.agg(F.sum("size_bytes")).scalar())
     bytes_ = F.col("_bytes") + F.col("size_bytes")
     percent = F.when(F.col("total_bytes") > 0, 100 * bytes_ / F.col("total_bytes")).otherwise(F.lit(0.0))
-    return rows.select("ordinal", (F.col("_files") + 1).alias("processed_files"), bytes_.alias("processed_bytes"), "total_files", "total_bytes", F.round(percent, 6).alias("percent"))
+    output = F.col("_output") + F.col("compressed")
+    return rows.select("ordinal", (F.col("_files") + 1).alias("processed_files"), bytes_.alias("processed_bytes"), output.alias("output_bytes"), "total_files", "total_bytes", F.round(percent, 6).alias("percent"))

@@ -11,7 +11,8 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
@@ -31,12 +32,49 @@ def inflate_bytes(data: bytes) -> bytes:
     return out
 
 
-def deflate_batch(parts: list[bytes], out: list, level: Level = Level.BALANCED) -> None:
-    """One file's blocks in order, into a list of as many places."""
+def deflate_batch(parts: list[bytes], out: list, level: Level = Level.BALANCED, ends: bool = True) -> None:
+    """Blocks of one file that follow each other, into a list of as many places. ends: the last is the file's last."""
     if len(parts) != len(out):
         raise PackError(Status.INVALID_ARGUMENT, f"{len(parts)} blocks for {len(out)} places")
     for i, data in enumerate(parts):
-        out[i] = deflate_bytes(data, i + 1 == len(parts), ZLIB_LEVEL[level])
+        out[i] = deflate_bytes(data, ends and i + 1 == len(parts), ZLIB_LEVEL[level])
+
+
+def deflate_runs(file_id: list, is_last: list[bool], parts: list[bytes], level: Level) -> list[bytes]:
+    """Blocks of several files, those of a file one after the other, as one batch a file."""
+    out: list = [None] * len(parts)
+    s = 0
+    while s < len(parts):
+        e = s + 1
+        while e < len(parts) and file_id[e] == file_id[s] and not is_last[e - 1]:
+            e += 1
+        done: list = [None] * (e - s)
+        deflate_batch(parts[s:e], done, level, is_last[e - 1])
+        out[s:e] = done
+        s = e
+    return out
+
+
+def deflated(blocks: DataFrame, level: Level = Level.BALANCED) -> DataFrame:
+    """blocks(file_id, block_index, is_last, payload), a file's in order within a partition: file_id, block_index, crc32, uncompressed, compressed and bytes, a batch a file."""
+    source = blocks.select("file_id", "block_index", "is_last", "payload")
+
+    def run(batches):
+        for b in batches:
+            ids, last = b.column(0).to_pylist(), b.column(2).to_pylist()
+            yield packed(b.column(0), b.column(1), ids, last, b.column(3).to_pylist(), level)
+
+    return source.mapInArrow(run, f"file_id {source.schema['file_id'].dataType.simpleString()}, block_index {source.schema['block_index'].dataType.simpleString()}, {MADE}")
+
+
+#: What deflating a block gives.
+MADE = "crc32 long, uncompressed long, compressed long, bytes binary"
+
+
+def packed(file_id: pa.Array, block_index: pa.Array, ids: list, last: list[bool], parts: list[bytes], level: Level) -> pa.RecordBatch:
+    made = deflate_runs(ids, last, parts, level)
+    numbers = [[zlib.crc32(p) for p in parts], [len(p) for p in parts], [len(m) for m in made]]
+    return pa.RecordBatch.from_arrays([file_id, block_index, *(pa.array(x, pa.int64()) for x in numbers), pa.array(made, pa.binary())], names=["file_id", "block_index", "crc32", "uncompressed", "compressed", "bytes"])
 
 
 def check(format: Format) -> None:

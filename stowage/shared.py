@@ -36,15 +36,20 @@ def _clean() -> None:
             return
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder when the interpreter ends."""
+    _written.append((spark, path))
+
+
 class Kept:
     """A table written to the shared folder: a lost executor recomputes nothing before it."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(self.path)
         self.schema = df.schema
-        _written.append((self.spark, self.path))
+        discard(self.spark, self.path)
 
     @property
     def df(self) -> DataFrame:

@@ -1,7 +1,8 @@
 """Files of a file system that the driver and all executors see: manifest and blocks.
 
-Spark's binaryFile source drops empty files and reads a whole file into a row; this source reads any range of a file as
-one block, so a large file is spread over tasks.
+Spark's binaryFile source drops empty files and reads a whole file into a row; here any range of a file is one block, so a
+large file is spread over tasks. Directories are listed on executors, one level of all trees a step, and the manifest is a
+table: no file or block is an object on the driver.
 """
 
 from __future__ import annotations
@@ -9,29 +10,27 @@ from __future__ import annotations
 import json
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
 from pathlib import PurePosixPath
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..model import MANIFEST, MIB, PackError, Status
+from ..operators.assemble import numbered
+from ..operators.blocks import split
+from ..shared import keep
 
-#: Bytes that one task reads, if blocks are smaller.
-TASK_BYTES = 64 * MIB
-
-
-@dataclass(frozen=True)
-class Entry:
-    file_id: int
-    ordinal: int
-    source: str
-    archive_path: str
-    size_bytes: int
-    mtime: datetime
+#: Bytes that one task reads, if blocks are smaller, and bytes of blocks that travel at once.
+TASK_BYTES, BATCH_BYTES = 64 * MIB, 64 * MIB
+#: Directories that one task lists.
+TASK_DIRS = 64
+LISTED = "input int, root string, path string, archive_path string, is_dir boolean, size_bytes long, mtime timestamp_ntz"
 
 
 def path_in_archive(path: str, root: str) -> str:
@@ -41,107 +40,167 @@ def path_in_archive(path: str, root: str) -> str:
     return PurePosixPath(path).name if found == "." else found
 
 
-def _walk(root: str, recurse: bool) -> Iterator[str]:
+def _found(number: int, root: str, path: str, is_dir: bool, s: os.stat_result | None) -> tuple:
+    mtime = datetime.fromtimestamp(s.st_mtime, UTC).replace(tzinfo=None) if s else None
+    return (number, root, path, path_in_archive(path, root), is_dir, s.st_size if s else 0, mtime)
+
+
+def _list(number: int, root: str, path: str, skip: str | None) -> Iterator[tuple]:
+    """A directory's regular files and subdirectories. One that may not be read has none; links to directories are not followed."""
     try:
-        entries = list(os.scandir(root))
+        entries = list(os.scandir(path))
     except PermissionError:
         return
     except OSError as e:
-        raise PackError(Status.IO, f"{root}: {e}") from e
+        raise PackError(Status.IO, f"{path}: {e}") from e
     for e in entries:
         if e.is_dir(follow_symlinks=False):
-            if recurse:
-                yield from _walk(e.path, recurse)
-        elif e.is_file():
-            yield e.path
-
+            yield _found(number, root, e.path, True, None)
+        elif e.is_file() and os.path.realpath(e.path) != skip:
+            try:
+                yield _found(number, root, e.path, False, os.stat(e.path))
+            except OSError as error:
+                raise PackError(Status.IO, f"{e.path}: {error}") from error
 
-def scan(inputs: list[str], recurse: bool = True, exclude: str | None = None) -> list[Entry]:
-    """Regular files of the inputs: inputs in the order given, a directory's files by their paths' components.
 
-    Ids count from 1 in walk order. An input given twice is there twice. exclude: the output, if it lies in an input.
-    """
-    found, skip = [], os.path.realpath(exclude) if exclude else None
-    for root in inputs:
+def _roots(inputs: list[str], skip: str | None) -> Iterator[tuple]:
+    """The inputs themselves."""
+    for number, root in enumerate(inputs):
         try:
-            mode = os.stat(root).st_mode
+            s = os.stat(root)
         except FileNotFoundError as e:
             raise PackError(Status.NOT_FOUND, root) from e
         except OSError as e:
             raise PackError(Status.IO, f"{root}: {e}") from e
-        if stat.S_ISREG(mode):
-            paths = [(root, PurePosixPath(root).name)]
-        elif stat.S_ISDIR(mode):
-            paths = [(p, path_in_archive(p, root)) for p in _walk(root, recurse)]
+        if stat.S_ISREG(s.st_mode):
+            if os.path.realpath(root) != skip:
+                yield (number, root, root, PurePosixPath(root).name, False, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC).replace(tzinfo=None))
+        elif stat.S_ISDIR(s.st_mode):
+            yield _found(number, root, root, True, None)
         else:
             raise PackError(Status.INVALID_ARGUMENT, f"{root} is neither a file nor a directory")
-        own = []
-        for path, name in paths:
-            if os.path.realpath(path) == skip:
-                continue
-            try:
-                s = os.stat(path)
-            except OSError as e:
-                raise PackError(Status.IO, f"{path}: {e}") from e
-            own.append((len(found) + len(own) + 1, path, name, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC).replace(tzinfo=None)))
-        found += sorted(own, key=lambda x: PurePosixPath(x[1]).parts)
-    return [Entry(i, k, p, n, size, t) for k, (i, p, n, size, t) in enumerate(found)]
 
 
-class Blocks(InputPartition):
-    def __init__(self, blocks: list[tuple[int, int, bool, str, int, int]]):
-        self.blocks = blocks
+def scan(spark: SparkSession, inputs: list[str], recurse: bool = True, exclude: str | None = None) -> DataFrame:
+    """MANIFEST of the inputs' regular files: inputs in the order given, a directory's files by their paths' components.
+
+    Ids count from 1 in the order of the walk: by input, directory and name. An input given twice is there twice. exclude:
+    the output, if it lies in an input.
+    """
+    skip = os.path.realpath(exclude) if exclude else None
+    columns = [c.split()[0] for c in LISTED.split(", ")]
+
+    def listed(batches):
+        for batch in batches:
+            rows = [x for number, root, path in zip(*(c.to_pylist() for c in batch.columns)) for x in _list(number, root, path, skip)]
+            for s in range(0, len(rows), 10_000):
+                part = list(zip(*rows[s : s + 10_000]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(part, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us")))], names=columns)
+
+    level = spark.createDataFrame(list(_roots(inputs, skip)), LISTED)
+    files = level.where("not is_dir")
+    first = True
+    while not (dirs := level.where("is_dir").select("input", "root", "path")).isEmpty():
+        if not first and not recurse:
+            break
+        parts = max(1, -(-dirs.count() // TASK_DIRS))
+        level, first = keep(dirs.repartition(parts).mapInArrow(listed, LISTED), "listing"), False
+        files = files.union(level.where("not is_dir"))
+    parts = F.split("path", "/")
+    keyed = files.withColumns({"parts": parts, "folder": F.slice(parts, 1, F.size(parts) - 1), "name": F.element_at(parts, -1)})
+    walked = numbered(keyed, ["input", "folder", "name"], "walk")
+    placed = numbered(walked.drop("folder", "name"), ["input", "parts", "walk"], "ordinal")
+    return keep(placed.select((F.col("walk") + 1).alias("file_id"), "ordinal", F.col("path").alias("source"), "archive_path", "size_bytes", "mtime"), "manifest")
+
+
+def read_range(path: str, offset: int, size: int) -> bytes:
+    """A block's bytes. Sizes are those of the scan: a file that has shrunk since is an error."""
+    if not size:
+        return b""
+    try:
+        with open(path, "rb") as f:
+            f.seek(offset)
+            data = f.read(size)
+    except OSError as e:
+        raise PackError(Status.IO, f"{path}: {e}") from e
+    if len(data) != size:
+        raise PackError(Status.IO, f"{path}: {len(data)} of {size} bytes at {offset}")
+    return data
+
+
+def read_ahead(ranges: list[tuple[str, int, int]], threads: int) -> Iterator[bytes]:
+    """The ranges' bytes in order, `threads` of them read at a time; no more than that many are held."""
+    with ThreadPoolExecutor(max(1, threads)) as pool:
+        left, waiting = iter(ranges), deque()
+        for r in left:
+            waiting.append(pool.submit(read_range, *r))
+            if len(waiting) >= max(1, threads):
+                yield waiting.popleft().result()
+        while waiting:
+            yield waiting.popleft().result()
+
+
+def plan(manifest: DataFrame, block_bytes: int) -> DataFrame:
+    """One row per block of the manifest's files (file_id, source, block_index, logical_offset, used_bytes, is_last), dealt so
+    that a task reads about TASK_BYTES, in the order of the archive."""
+    blocks = split(manifest.select("file_id", "ordinal", "source", "size_bytes"), block_bytes)
+    total = manifest.agg(F.sum("size_bytes"), F.count("*")).first()
+    tasks = max(1, -(-(total[0] or 0) // TASK_BYTES), -(-total[1] // 10_000))
+    return blocks.repartitionByRange(tasks, "ordinal", "block_index").sortWithinPartitions("ordinal", "block_index").drop("size_bytes", "ordinal")
+
+
+def blocks(manifest: DataFrame, block_bytes: int, io_threads: int = 1) -> DataFrame:
+    """plan() with the blocks' bytes in `payload`."""
+    names = ["file_id", "block_index", "is_last", "logical_offset", "used_bytes"]
+
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+            sizes = col["used_bytes"]
+            parts = read_ahead(list(zip(col["source"], col["logical_offset"], sizes)), io_threads)
+            s = 0
+            while s < len(sizes):
+                e, held = s, []
+                while e < len(sizes) and (e == s or sum(map(len, held)) + sizes[e] <= BATCH_BYTES):
+                    held.append(next(parts))
+                    e += 1
+                yield pa.RecordBatch.from_arrays([*(pa.array(col[n][s:e], k) for n, k in zip(names, (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()))), pa.array(held, pa.binary())], names=[*names, "payload"])
+                s = e
+
+    return plan(manifest, block_bytes).mapInArrow(run, "file_id long, block_index int, is_last boolean, logical_offset long, used_bytes long, payload binary")
 
 
 class FilesReader(DataSourceReader):
+    """Reads manifests: a partition an input, listed where it is read."""
+
     def __init__(self, options: dict):
-        self.entries = [Entry(*x[:5], datetime.fromisoformat(x[5])) for x in json.loads(options["entries"])] if "entries" in options else scan(json.loads(options["inputs"]), options.get("recurse", "true") == "true", options.get("exclude"))
-        self.manifest = options.get("what", "blocks") == "manifest"
-        self.block = int(options.get("block_bytes", MIB)) or MIB
+        self.inputs, self.recurse = json.loads(options["inputs"]), options.get("recurse", "true") == "true"
+        self.skip = os.path.realpath(options["exclude"]) if "exclude" in options else None
 
     def partitions(self) -> list[InputPartition]:
-        if self.manifest:
-            return [InputPartition(self.entries[k : k + 10_000]) for k in range(0, len(self.entries), 10_000)]
-        out, now, total = [], [], 0
-        for e in self.entries:
-            n = max(1, -(-e.size_bytes // self.block))
-            for i in range(n):
-                used = min(self.block, e.size_bytes - i * self.block)
-                if now and total + used > TASK_BYTES:
-                    out.append(Blocks(now))
-                    now, total = [], 0
-                now.append((e.file_id, i, i + 1 == n, e.source, i * self.block, used))
-                total += used
-        return [*out, Blocks(now)] if now else out
-
-    def read(self, partition: InputPartition) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
-        if self.manifest:
-            for e in partition.value or []:
-                yield (e.file_id, e.ordinal, e.source, e.archive_path, e.size_bytes, e.mtime)
-            return
-        for file_id, index, last, path, offset, used in partition.blocks:
-            data = b""
-            if used:
-                try:
-                    with open(path, "rb") as f:
-                        f.seek(offset)
-                        data = f.read(used)
-                except OSError as e:
-                    raise PackError(Status.IO, f"{path}: {e}") from e
-                if len(data) != used:
-                    raise PackError(Status.IO, f"{path}: {len(data)} of {used} bytes at {offset}")
-            yield (file_id, index, last, offset, used, data)
+        return [InputPartition((k, root)) for k, root in enumerate(self.inputs)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        _, root = partition.value
+        todo, top = list(_roots([root], self.skip)), True
+        while todo:
+            number, base, path, name, is_dir, size, mtime = todo.pop()
+            if not is_dir:
+                yield (path, name, size, mtime)
+            elif top or self.recurse:
+                todo += _list(number, base, path, self.skip)
+                top = False
 
 
 class PackFiles(DataSource):
-    """spark.read.format('packfiles'): options inputs (a JSON list), recurse, exclude, block_bytes and what ('manifest' or 'blocks')."""
+    """spark.read.format('packfiles'): the files of inputs (a JSON list) with options recurse and exclude."""
 
     @classmethod
     def name(cls) -> str:
         return "packfiles"
 
     def schema(self):
-        return MANIFEST if self.options.get("what", "blocks") == "manifest" else "file_id long, block_index int, is_last boolean, logical_offset long, used_bytes long, payload binary"
+        return "source string, archive_path string, size_bytes long, mtime timestamp_ntz"
 
     def reader(self, schema) -> DataSourceReader:
         return FilesReader(dict(self.options))
@@ -151,12 +210,4 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PackFiles)
 
 
-def manifest(spark: SparkSession, entries: list[Entry]) -> DataFrame:
-    return spark.createDataFrame([(e.file_id, e.ordinal, e.source, e.archive_path, e.size_bytes, e.mtime) for e in entries], MANIFEST)
-
-
-def blocks(spark: SparkSession, entries: list[Entry], block_bytes: int) -> DataFrame:
-    """The entries' blocks. Sizes are those of the scan: a file that has shrunk since is an error."""
-    register(spark)
-    plain = json.dumps([[e.file_id, e.ordinal, e.source, e.archive_path, e.size_bytes, e.mtime.isoformat()] for e in entries])
-    return spark.read.format("packfiles").option("entries", plain).option("block_bytes", block_bytes).load()
+__all__ = ["MANIFEST", "PackFiles", "blocks", "path_in_archive", "plan", "read_ahead", "read_range", "register", "scan"]

@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str, payload: bool = False) -> DataFr
 
 def ordered(files: DataFrame) -> DataFrame:
     """Adds ordinal, from 0, in the order of the paths' components."""
-    return numbered(files, ["source", "lang"], ["file_name", "file_id"], "ordinal")
+    return numbered(files, ["source", "lang", "file_name", "file_id"], "ordinal")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import os
 import struct
+import threading
 import time
 import zipfile
 import zlib
@@ -22,9 +23,10 @@ from stowage.functions.crc import combine, combine_col
 from stowage.functions.wire import dos_date, dos_time, gzip_mtime, parse_size
 from stowage.model import Algorithm, EngineOptions, Format, JobOptions, JobRequest, Level, PackError, Progress, Status, capabilities
 from stowage.operators import layout
-from stowage.operators.assemble import before, numbered
+from stowage.operators.assemble import assemble, before, numbered
 from stowage.operators.blocks import route, split
-from stowage.operators.codec import deflate_batch, deflate_bytes, inflate_bytes
+from stowage.operators.codec import deflate_batch, deflate_bytes, deflate_runs, inflate_bytes
+from stowage.sources import files
 from stowage.sources.files import blocks, path_in_archive, scan
 from stowage.streaming.progress import Throttle
 
@@ -90,6 +92,15 @@ def test_batch():
     assert e.value.code == Status.INVALID_ARGUMENT
 
 
+def test_batches_by_file():
+    data = {1: [b"ab" * 50, b"c" * 70], 2: [b""], 3: [b"x" * 10, b"y", b"z" * 99]}
+    ids, last, parts = zip(*[(i, k + 1 == len(d), p) for i, d in data.items() for k, p in enumerate(d)])
+    for cut in range(len(parts) + 1):  # a file may go on in the next batch
+        made = [x for a, b in ((0, cut), (cut, len(parts))) for x in deflate_runs(list(ids[a:b]), list(last[a:b]), list(parts[a:b]), Level.FAST)]
+        for i, d in data.items():
+            assert inflate_bytes(b"".join(m for j, m in zip(ids, made) if j == i)) == b"".join(d)
+
+
 def test_empty_block_is_a_stream():
     assert deflate_bytes(b"", True, -1) == b"\x03\x00"
 
@@ -118,8 +129,22 @@ def test_prefix_sums_over_many_ranges(spark):
         want[i] = total
         total += i % 7
     assert {r["id"]: r["s"] for r in before(df, "v", "id", "s", bucket=64).collect()} == want
-    got = numbered(df, ["v"], ["id"], "n").orderBy("v", "id").collect()
-    assert [r["n"] for r in got] == list(range(1000))
+    got = numbered(df, ["v", "id"], "n").orderBy("v", "id").collect()
+    assert [r["n"] for r in got] == list(range(1000)) and numbered(df.limit(0), ["v", "id"], "n").count() == 0
+
+
+@pytest.mark.parametrize("fan", [2, 3, 1024])
+def test_checksums_combine_in_ranges(spark, fan):
+    data = {1: random_bytes(997, 5), 2: b"", 3: b"abc"}
+    rows = [(i, k, zlib.crc32(p := d[s : s + 10]), len(p), 1) for i, d in data.items() for k, s in enumerate(range(0, max(1, len(d)), 10))]
+    got = assemble(spark.createDataFrame(rows[::-1], "file_id long, block_index int, crc32 long, uncompressed long, compressed long"), fan).collect()
+    assert {r["file_id"]: (r["blocks"], r["file_crc32"], r["uncompressed"], r["compressed"]) for r in got} == {i: (max(1, -(-len(d) // 10)), zlib.crc32(d), len(d), max(1, -(-len(d) // 10))) for i, d in data.items()}
+
+
+def test_combine_over_very_long_parts(spark):
+    """Lengths of 2^48 and more, against the plain rule."""
+    for n in (2**48, 2**48 + 5, 2**62 + 2**50 + 3):
+        assert spark.range(1).select(combine_col(F.lit(0x12345678).cast("long"), F.lit(0x9ABCDEF0).cast("long"), F.lit(n))).first()[0] == combine(0x12345678, 0x9ABCDEF0, n)
 
 
 @settings(deadline=None, max_examples=5)
@@ -152,12 +177,31 @@ def tree(tmp_path):
     return root
 
 
-def test_scan_order_and_ids(tree):
-    found = scan([str(tree)])
+def found_by(spark, inputs: list, **options) -> list:
+    return scan(spark, [str(x) for x in inputs], **options).orderBy("ordinal").collect()
+
+
+def test_scan_order_and_ids(spark, tree):
+    found = found_by(spark, [tree])
     assert [e.archive_path for e in found] == ["data/a/b", "data/a-z", "data/a.txt", "data/big.bin", "data/sub/empty", "data/sub/é.txt"]
     assert sorted(e.file_id for e in found) == [1, 2, 3, 4, 5, 6] and [e.ordinal for e in found] == list(range(6))
-    assert [e.archive_path for e in scan([str(tree)], recurse=False)] == ["data/a-z", "data/a.txt", "data/big.bin"]
-    assert [e.archive_path for e in scan([str(tree / "big.bin"), str(tree / "a.txt"), str(tree / "a.txt")])] == ["big.bin", "a.txt", "a.txt"]
+    assert [e.archive_path for e in sorted(found, key=lambda e: e.file_id)] == ["data/a-z", "data/a.txt", "data/big.bin", "data/a/b", "data/sub/empty", "data/sub/é.txt"]  # a directory before those in it
+    assert [e.archive_path for e in found_by(spark, [tree], recurse=False)] == ["data/a-z", "data/a.txt", "data/big.bin"]
+    assert [e.archive_path for e in found_by(spark, [tree / "big.bin", tree / "a.txt", tree / "a.txt"])] == ["big.bin", "a.txt", "a.txt"]
+    assert [e.archive_path for e in found_by(spark, [tree / "sub", tree / "a.txt", tree / "a"])] == ["sub/empty", "sub/é.txt", "a.txt", "a/b"]
+    assert [e.archive_path for e in found_by(spark, [tree], exclude=str(tree / "a" / ".." / "a" / "b"))][0] == "data/a-z"
+
+
+def test_scan_of_many_directories(spark, tmp_path):
+    """More directories than a task lists, in several levels, against a walk in one piece."""
+    for i in range(90):
+        folder = tmp_path / "t" / f"d{i % 9}" / f"e{i}"
+        folder.mkdir(parents=True)
+        (folder / "f.txt").write_text("x" * i)
+    (tmp_path / "t" / "loop").symlink_to(tmp_path / "t")
+    want = sorted((Path(d) / f for d, _, names in os.walk(tmp_path / "t") for f in names), key=lambda p: p.parts)
+    found = found_by(spark, [tmp_path / "t"])
+    assert [e.source for e in found] == [str(p) for p in want] and [e.size_bytes for e in found] == [p.stat().st_size for p in want]
 
 
 def test_archive_path_rule():
@@ -166,38 +210,58 @@ def test_archive_path_rule():
     assert path_in_archive("/data/sub/foo", "/data") == "data/sub/foo"
 
 
-def test_scan_errors(tmp_path):
+def test_scan_errors(spark, tmp_path):
     with pytest.raises(PackError) as e:
-        scan([str(tmp_path / "none")])
+        scan(spark, [str(tmp_path / "none")])
     assert e.value.code == Status.NOT_FOUND
     os.mkfifo(tmp_path / "pipe")
     with pytest.raises(PackError) as e:
-        scan([str(tmp_path / "pipe")])
+        scan(spark, [str(tmp_path / "pipe")])
     assert e.value.code == Status.INVALID_ARGUMENT
 
 
-def test_block_source_reads_ranges(spark, tree):
-    entries = scan([str(tree)])
-    rows = blocks(spark, entries, 4096).orderBy("file_id", "block_index").collect()
-    for e in entries:
+@pytest.mark.parametrize("threads", [1, 3])
+def test_blocks_are_ranges_of_their_files(spark, tree, threads):
+    manifest = scan(spark, [str(tree)])
+    rows = blocks(manifest, 4096, threads).orderBy("file_id", "block_index").collect()
+    for e in manifest.collect():
         assert b"".join(bytes(r["payload"]) for r in rows if r["file_id"] == e.file_id) == Path(e.source).read_bytes()
 
 
+def test_read_ahead_holds_as_many_as_threads(monkeypatch):
+    now, most, lock = [0], [0], threading.Lock()
+
+    def slow(path, offset, size):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.02)
+        with lock:
+            now[0] -= 1
+        return bytes([offset])
+
+    monkeypatch.setattr(files, "read_range", slow)
+    for threads in (1, 4):
+        most[0] = 0
+        assert list(files.read_ahead([("x", k, 1) for k in range(12)], threads)) == [bytes([k]) for k in range(12)] and most[0] == threads
+
+
 def test_manifest_source(spark, tree):
     from stowage.sources.files import register
 
     register(spark)
     import json
 
-    df = spark.read.format("packfiles").option("inputs", json.dumps([str(tree)])).option("what", "manifest").load()
-    assert df.count() == 6 and df.agg(F.sum("size_bytes")).first()[0] == 10000 + 4 + 1 + 0 + 6000 + 70000
+    df = spark.read.format("packfiles").option("inputs", json.dumps([str(tree), str(tree / "a.txt")])).load()
+    assert df.count() == 7 and df.agg(F.sum("size_bytes")).first()[0] == 10000 + 4 + 1 + 0 + 6000 + 70000 + 4
+    assert spark.read.format("packfiles").option("inputs", json.dumps([str(tree)])).option("recurse", "false").load().count() == 3
 
 
 def test_shrunk_file_is_an_error(spark, tree):
-    entries = scan([str(tree / "big.bin")])
+    manifest = scan(spark, [str(tree / "big.bin")])
     (tree / "big.bin").write_bytes(b"short")
     with pytest.raises(Exception, match="IO"):
-        blocks(spark, entries, 4096).count()
+        blocks(manifest, 4096).count()
 
 
 @pytest.mark.parametrize("block", [4096, 1 << 23])
@@ -271,6 +335,23 @@ def test_handle(spark, tree):
     assert error and error.code == Status.CANCELLED and not (tree.parent / "c.zip").exists()
 
 
+def test_progress_rises_while_the_job_runs(spark, tmp_path, monkeypatch):
+    """Files and bytes are reported as tasks end, before the job does."""
+    from stowage.plans import pack
+    from stowage.sources import files as source
+
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / "in" / f"{i:02}.bin").write_bytes(random_bytes(20_000, i))
+    monkeypatch.setattr(source, "TASK_BYTES", 50_000)  # many tasks
+    seen: list[Progress] = []
+    stats = Engine(spark).run(JobRequest((str(tmp_path / "in"),), str(tmp_path / "o.zip"), JobOptions(block_bytes=8192, level=Level.BEST)), seen.append)
+    between = sorted({p.processed_files for p in seen if 0 < p.processed_files < 40})
+    assert between and all(0 < p.output_bytes and p.processed_bytes <= 800_000 for p in seen if p.processed_files)
+    assert [p.processed_bytes for p in seen] == sorted(p.processed_bytes for p in seen) and stats.files_processed == 40 and seen[-1].processed_files == 40
+    assert pack.EngineOptions().io_threads == 4
+
+
 def test_progress_is_throttled():
     now, seen = [0.0], []
     t = Throttle(seen.append, clock=lambda: now[0])
