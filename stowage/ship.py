@@ -12,10 +12,15 @@ from pyspark.sql import SparkSession
 from .shared import shared_dir
 
 _shipped: set[tuple[str, str]] = set()
+#: Spark's setting of the bytes that go to Python at once, its default, and what whole texts and files call for.
+BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds a zip of the package to the application once; the name carries a hash of the content."""
+    """Adds a zip of the package to the application once; the name carries a hash of the content. Where the session has not
+    set the bytes of an Arrow batch itself, they are set to SMALL: a batch is held several times over by JVM and worker."""
+    if spark.conf.get(BATCH, "") == USUAL:
+        spark.conf.set(BATCH, SMALL)
     package = Path(__file__).resolve().parent
     files = sorted(package.rglob("*.py"))
     digest = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
