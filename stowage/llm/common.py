@@ -141,6 +141,21 @@ def slices(sizes, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes in the column, so that what is made of a batch does not depend on how small they come."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(column).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Null texts count as empty."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, balanced, expand, folded, frame, free, map_batches, own_columns, rows, slices, squeeze, table, texts_of, unframe
+from .common import Kept, balanced, expand, folded, frame, free, gathered, map_batches, own_columns, rows, slices, squeeze, table, texts_of, unframe
 from .mph import PerfectHash
 
 MIN_DOCS = 10
@@ -44,7 +44,7 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
 def _blocks(batches):
     """Rows (block, n_keys, payload): ids of the documents, the distinct keys with counts, and per document its distinct keys."""
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in gathered(batches, 2, BLOCK_BYTES):
         texts = texts_of(batch.column(2))
         mark, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for s, e in slices([len(t) + 1 for t in texts], BLOCK_BYTES):

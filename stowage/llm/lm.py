@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Kept, balanced, expand, frame, is_train, rows, slices, squeeze, table, unframe
+from .common import Kept, balanced, expand, frame, gathered, is_train, rows, slices, squeeze, table, unframe
 from .elias_fano import NONE, STEP, Trie, decode
 
 HELD = (10, 0)
@@ -78,7 +78,7 @@ def _bucket(words: pa.Array) -> np.ndarray:
 def _blocks(batches):
     """Block rows: ids, tokens by text, whether learned from, word numbers and the words' buckets; and the words, ordered by bucket and bytes, with their counts."""
     block = TaskContext.get().partitionId() << 32
-    for batch in batches:
+    for batch in gathered(batches, 1, BLOCK_BYTES):
         texts = batch.column(1).fill_null("")
         ids, train = batch.column(0), batch.column(2).to_numpy(zero_copy_only=False)
         for s, e in slices((pc.binary_length(texts).to_numpy() + 1).tolist(), BLOCK_BYTES):

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import balanced, rows, slices
+from .common import balanced, gathered, rows, slices
 
 SPACE = "▁"
 BLOCK_BYTES = 8 << 20
@@ -261,7 +261,7 @@ def _over(df: DataFrame, path: str | None, id: str, text: str, added: str, resul
 
     def run(batches):
         m = model(path)
-        for batch in batches:
+        for batch in gathered(batches, 1, BLOCK_BYTES):
             texts = batch.column(1).fill_null("")
             for s, e in slices((pc.binary_length(texts).to_numpy() + 1).tolist(), BLOCK_BYTES):
                 part = texts.slice(s, e - s)
