@@ -19,7 +19,7 @@ BATCH, USUAL, SMALL = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b",
 def ship(spark: SparkSession) -> None:
     """Adds a zip of the package to the application once; the name carries a hash of the content. Where the session has not
     set the bytes of an Arrow batch itself, they are set to SMALL: a batch is held several times over by JVM and worker."""
-    if spark.conf.get(BATCH, "") == USUAL:
+    if spark.conf.get(BATCH, USUAL) == USUAL:
         spark.conf.set(BATCH, SMALL)
     package = Path(__file__).resolve().parent
     files = sorted(package.rglob("*.py"))
