@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,5 +63,23 @@ class Kept:
         _delete(self.spark, self.path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[Kept], Kept]]:
+    """Tables that are kept inside are deleted at the end, but those given to the function that it yields. For work whose
+    result is written before the end; sessions that run side by side should not share one."""
+    before, spared = len(_written), set()
+
+    def spare(table: Kept) -> Kept:
+        spared.add(table.path)
+        return table
+
+    try:
+        yield spare
+    finally:
+        for spark, path in [x for x in _written[before:] if x[1] not in spared]:
+            _written.remove((spark, path))
+            _delete(spark, path)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     return Kept(df, name).df

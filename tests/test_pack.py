@@ -26,6 +26,7 @@ from stowage.operators import layout
 from stowage.operators.assemble import assemble, before, numbered
 from stowage.operators.blocks import route, split
 from stowage.operators.codec import deflate_batch, deflate_bytes, deflate_runs, inflate_bytes
+from stowage.shared import Kept, scratch
 from stowage.sources import files
 from stowage.sources.files import blocks, path_in_archive, scan
 from stowage.streaming.progress import Throttle
@@ -379,6 +380,13 @@ def test_command_line_packs(spark, tree):
     assert zipfile.ZipFile(tree.parent / "cli.zip").testzip() is None
 
 
+def test_scratch_tables_are_deleted(spark):
+    with scratch() as spare:
+        gone, stays = Kept(spark.range(3), "gone"), spare(Kept(spark.range(4), "stays"))
+    assert stays.df.count() == 4 and not os.path.exists(gone.path.removeprefix("file:")) and os.path.exists(stays.path.removeprefix("file:"))
+    stays.drop()
+
+
 def test_options():
     assert EngineOptions(gpu_memory_budget_mib=900, gpu_streams=0).staging_bytes() == 900 << 20 and EngineOptions().staging_bytes() == (1 << 30) // 3
     assert capabilities()["has_cuda"] is False
