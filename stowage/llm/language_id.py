@@ -8,6 +8,8 @@ The pipeline's stage also rejects on the model's evidence, the mean log-probabil
 
 Defined cases: a null text, or one without a letter, is `und` with score 0. Rows with null language or without a letter
 teach nothing. With nothing learned every text is `und`. Equal scores go to the language first in alphabetical order.
+Rows that repeat are rows of their own; an empty table gives no rows. Texts are whole, in pieces of memory of about CHUNK
+characters a task, or one longer text. Other columns pass through; a result column replaces one of the same name.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Bound of the training sample: documents per language, chosen by a hash of the id.
 PER_LANGUAGE = 5_000
+#: Bound of the model: so many languages, those with the most rows, are learned.
+LANGUAGES = 1_000
 #: Characters handled at once, to bound memory; a longer text stands alone.
 CHUNK = 1 << 20
 #: The stage's least evidence (see floors) and the allowance for texts of few n-grams.
@@ -126,14 +130,15 @@ def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"lang": [key[0].as_py()], "counts": pa.array([x.astype("<i8").tobytes()], pa.binary())})
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = PER_LANGUAGE, smooth: float = 0.1) -> Model:
-    """Learns from at most about per_language rows of each language, whole texts, chosen by a hash of the id."""
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", per_language: int = PER_LANGUAGE, smooth: float = 0.1, languages: int = LANGUAGES) -> Model:
+    """Learns the `languages` languages with the most rows, from at most about per_language rows of each, whole texts, chosen by a hash of the id."""
     rows_ = df.select(F.col(id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    n = {r["lang"]: r["n"] for r in rows_.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
+    n = {r["lang"]: r["n"] for r in rows_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not n:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, min(1.0, per_language / v))])
-    sample = rows_.where(F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    place = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 20))
+    sample = rows_.where(F.map_contains_key(share, F.col("lang")) & (place < F.try_element_at(share, F.col("lang")) * (1 << 20)))
     parts = sample.select("text", "lang").mapInArrow(_count, "lang string, counts binary")
     got = sorted(parts.groupBy("lang").applyInArrow(_add, "lang string, counts binary").collect(), key=lambda r: r["lang"])
     if not got:

@@ -6,7 +6,9 @@ documents share costs one entry a block. A shard builds its perfect hash with a
 and every block's keys probe those arrays; what goes back is one bit a key. No line is ever a join key.
 
 Defined cases: a null or empty text is one empty line; empty keys are never counted or dropped. Rows count as documents
-of their own, also when they repeat. A document all of whose lines go keeps the empty text.
+of their own, also when they repeat. A document all of whose lines go keeps the empty text. An empty table gives no rows. A
+text of more than BLOCK_BYTES is a block of its own, in one task's memory. Other columns pass through, whatever their names;
+a result column replaces one of the same name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ product, exactly. With q = q' + e and x = x' + f (quantised part and rest) the p
 best. The others are recomputed in double precision from the original vectors, so the search is exact (recall 1).
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part; a query with
-fewer candidates than k gets them all; equal scores go to the smaller id.
+fewer candidates than k gets them all; equal scores go to the smaller id; rows that repeat are candidates of their own; an
+empty table gives no rows. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ the token that ends where it starts. Compatibility is worked out once per pair o
 A character that no piece covers becomes a token of its own and is written as its bytes.
 
 Defined cases: a null text is encoded like an empty one, to no pieces. The model's file is a parameter and must have
-identity normalisation; other models raise an error.
+identity normalisation; other models raise an error. Rows that repeat are rows of their own; an empty table gives no rows. A
+text of more than BLOCK_BYTES is worked on alone, in one task's memory. Other columns, whatever their names, take no part.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ index and context vectors of its shapes, and three counts. Index tables have a f
 small whatever the corpus.
 
 Defined cases: a null text counts as empty; empty texts get the network's answer for the zero vector. Without labelled
-rows of both classes every score is the share of label 1 (0.5 without any label).
+rows of both classes every score is the share of label 1 (0.5 without any label). Rows that repeat are scored each, and
+teach once an id; a null id teaches nothing; an empty table gives no rows. Texts are whole, in pieces of memory of about
+CHUNK characters a task, or one longer text. Other columns pass through; a result column replaces one of the same name.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ The pipeline's stage asks for a Jaccard similarity of NEAR over runs of NEAR_WOR
 8 to 10 bits, too many for the pigeonhole. It finds pairs by bands of MinHash and verifies each by its exact similarity.
 
 Defined cases: null or empty texts have fingerprint zero, which links like any other. Rows with a null id keep a row of
-their own; their component is the smallest id that is not null, or null if there is none.
+their own; their component is the smallest id that is not null, or null if there is none. Rows that repeat are rows of
+their own; an empty table gives no rows; texts are whole, however long, each in one task's memory. Other columns, whatever
+their names, take no part.
 """
 
 from __future__ import annotations
@@ -47,6 +49,8 @@ CENTRES = 2
 SAMPLE = 20_000
 #: A list longer than this is cut into chunks of this many.
 CHUNK = 2_048
+#: Listed rows that a task holds at once, besides one list or pair of chunks.
+ROWS = 1 << 19
 #: What a listed row costs, in candidate pairs.
 ROW_COST = 12
 
@@ -209,35 +213,48 @@ def links(distinct: DataFrame, tau: int = TAU, chunk: int = CHUNK) -> DataFrame:
                 yield rows("key long, fp long", {"key": keys.view(np.int64), "fp": of.view(np.int64)})
 
     def verify(batches):
-        got = [[batch.column(c).to_numpy() for c in range(3)] for batch in batches]
-        if got and parts:
-            keys, fps, side = (np.concatenate(x) for x in zip(*got))
-            a, b = links_in(keys.view(np.uint64), fps.view(np.uint64), side, parts, tau)
-            for s in range(0, len(a), 1 << 16):
-                yield rows("a long, b long", {"a": a[s : s + (1 << 16)].view(np.int64), "b": b[s : s + (1 << 16)].view(np.int64)})
+        for keys, fps, side in cut_at(batches, 1):
+            yield from linked(*links_in(keys.view(np.uint64), fps.view(np.uint64), side, parts, tau))
+
+    def linked(a: np.ndarray, b: np.ndarray):
+        for s in range(0, len(a), 1 << 16):
+            yield rows("a long, b long", {"a": a[s : s + (1 << 16)].view(np.int64), "b": b[s : s + (1 << 16)].view(np.int64)})
 
     lists = Kept(distinct.mapInArrow(enlist, "key long, fp long"), "lists").df
     long = Kept(lists.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk).withColumn("k", F.ceil(F.col("n") / chunk).cast("int")), "long").df
     usual = lists.join(long, "key", "left_anti").select("key", "fp", F.lit(0).alias("side"))
-    found = usual.repartition("key").mapInArrow(verify, "a long, b long")
+    found = usual.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long")
     if long.isEmpty():
         return found
     # each pair i <= j of a long list's chunks is a task's work; a row goes to the k pairs that its chunk is in
     chunked = lists.join(long, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    pair = chunked.select("key", "fp", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"), F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"))
+    pair = chunked.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp", F.when(F.col("i") == F.col("j"), 0).when(F.col("i") < F.col("j"), 1).otherwise(2).alias("side"))
 
     def verify_pairs(batches):
-        got = [[batch.column(c).to_numpy() for c in range(5)] for batch in batches]
-        if got:
-            keys, fps, side, lo, hi = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((hi, lo, keys))
-            keys, fps, side, lo, hi = (x[order] for x in (keys, fps, side, lo, hi))
-            cut = np.flatnonzero((np.diff(keys) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
-            for s, e in zip([0, *cut], [*cut, len(keys)]):
-                a, b = links_in(keys[s:e].view(np.uint64), fps[s:e].view(np.uint64), side[s:e], parts, tau)
-                yield rows("a long, b long", {"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    return found.union(pair.repartition("key", "lo", "hi").mapInArrow(verify_pairs, "a long, b long"))
+        for keys, lo, hi, fps, side in cut_at(batches, 3):
+            new = np.flatnonzero((np.diff(keys) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)) + 1
+            for s, e in zip([0, *new], [*new, len(keys)]):
+                yield from linked(*links_in(keys[s:e].view(np.uint64), fps[s:e].view(np.uint64), side[s:e], parts, tau))
+
+    return found.union(pair.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(verify_pairs, "a long, b long"))
+
+
+def cut_at(batches, lead: int, most: int = ROWS):
+    """Columns of sorted rows in parts of about `most` rows; rows that are equal in the first `lead` columns stay together."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        got = [c.to_numpy() for c in batch.columns]
+        held = [np.concatenate(x) for x in zip(held, got)] if held else got
+        if len(held[0]) >= most:
+            new = np.zeros(len(held[0]) - 1, bool)
+            for c in held[:lead]:
+                new |= c[1:] != c[:-1]
+            if new.any():
+                end = int(np.flatnonzero(new)[-1]) + 1
+                yield [c[:end] for c in held]
+                held = [c[end:] for c in held]
+    if held and len(held[0]):
+        yield held
 
 
 def components(df: DataFrame, id: str = "doc_id", text: str = "text", tau: int = TAU, width: int = WORDS, seed: int = SEED) -> DataFrame:

@@ -118,7 +118,7 @@ def search(df: DataFrame, id: str, vector: str, k: int, modulus: int, zero: bool
 
     asked = Kept(blocks.mapInArrow(queries, "q long, dim int, queries binary"), "vector-queries").df
     # the stated queries, in blocks, meet every block once
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long")))).repartition("block", "dim", "q")
+    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
     tiles = pairs.join(blocks, ["block", "dim"])
 
     def tiled(batches):
