@@ -40,6 +40,13 @@ def gzip_isize(n: Column) -> Column:
     return F.pmod(n.cast("long"), F.lit(1 << 32))
 
 
+def path_below(path: Column, root: Column) -> Column:
+    """A file's path relative to the parent of the root it was found in, or to the root itself where that has none."""
+    own = F.regexp_replace(root, "/+$", "")
+    base = F.when(F.contains(own, F.lit("/")), F.regexp_extract(own, "^(.*)/[^/]*$", 1)).otherwise(own)
+    return F.substring(path, F.char_length(base) + 2, F.char_length(path))
+
+
 def name_in_archive(path: Column) -> Column:
     """Without leading slashes or backslashes."""
     return F.regexp_replace(path, r"^[/\\]+", "")

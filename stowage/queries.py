@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.crc import combine_col
-from .functions.wire import dos_date, dos_time, epoch_seconds, gzip_isize, gzip_mtime, le_hex, name_in_archive, parse_size
+from .functions.wire import dos_date, dos_time, epoch_seconds, gzip_isize, gzip_mtime, le_hex, name_in_archive, parse_size, path_below
 from .model import EXTENSION, Algorithm, Format, JobOptions, Level, is_archive
 from .operators import layout
 from .operators.assemble import assemble, before, job_stats, numbered, progress, ratio, saved_percent
@@ -69,8 +69,8 @@ from pages""")
 def archive_path(spark, d):
     """Paths below a root that has a parent are relative to it: the parent here is the host."""
     source = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-z]+://", ""), "[?#].*$", "")
-    parts = F.split("source_path", "/")
-    return table(spark, d, "pages").select("page_id", source.alias("source_path")).withColumn("archive_path", F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "/"))
+    root = F.concat(F.regexp_extract("source_path", "^([^/]*)", 1), F.lit("/root"))
+    return table(spark, d, "pages").select("page_id", source.alias("source_path")).withColumn("archive_path", path_below(F.col("source_path"), root))
 
 
 @query(f"with {FILES} select ordinal, archive_path from files")

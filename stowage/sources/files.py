@@ -14,14 +14,14 @@ from collections import deque
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import UTC, datetime
-from pathlib import PurePosixPath
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..model import MANIFEST, MIB, PackError, Status
+from ..functions.wire import path_below
+from ..model import MIB, PackError, Status
 from ..operators.assemble import numbered
 from ..operators.blocks import split
 from ..shared import keep
@@ -30,19 +30,12 @@ from ..shared import keep
 TASK_BYTES, BATCH_BYTES = 64 * MIB, 64 * MIB
 #: Directories that one task lists.
 TASK_DIRS = 64
-LISTED = "input int, root string, path string, archive_path string, is_dir boolean, size_bytes long, mtime timestamp_ntz"
-
-
-def path_in_archive(path: str, root: str) -> str:
-    """Relative to the root's parent, or to the root itself where that has none."""
-    base = os.path.dirname(root.rstrip("/")) or root
-    found = os.path.relpath(path, base)
-    return PurePosixPath(path).name if found == "." else found
+LISTED = "input int, root string, path string, is_dir boolean, size_bytes long, mtime timestamp_ntz"
 
 
 def _found(number: int, root: str, path: str, is_dir: bool, s: os.stat_result | None) -> tuple:
     mtime = datetime.fromtimestamp(s.st_mtime, UTC).replace(tzinfo=None) if s else None
-    return (number, root, path, path_in_archive(path, root), is_dir, s.st_size if s else 0, mtime)
+    return (number, root, path, is_dir, s.st_size if s else 0, mtime)
 
 
 def _list(number: int, root: str, path: str, skip: str | None) -> Iterator[tuple]:
@@ -74,7 +67,7 @@ def _roots(inputs: list[str], skip: str | None) -> Iterator[tuple]:
             raise PackError(Status.IO, f"{root}: {e}") from e
         if stat.S_ISREG(s.st_mode):
             if os.path.realpath(root) != skip:
-                yield (number, root, root, PurePosixPath(root).name, False, s.st_size, datetime.fromtimestamp(s.st_mtime, UTC).replace(tzinfo=None))
+                yield _found(number, root, root, False, s)
         elif stat.S_ISDIR(s.st_mode):
             yield _found(number, root, root, True, None)
         else:
@@ -82,7 +75,7 @@ def _roots(inputs: list[str], skip: str | None) -> Iterator[tuple]:
 
 
 def scan(spark: SparkSession, inputs: list[str], recurse: bool = True, exclude: str | None = None) -> DataFrame:
-    """MANIFEST of the inputs' regular files: inputs in the order given, a directory's files by their paths' components.
+    """The manifest (as model.MANIFEST) of the inputs' regular files: inputs in the order given, a directory's files by their paths' components.
 
     Ids count from 1 in the order of the walk: by input, directory and name. An input given twice is there twice. exclude:
     the output, if it lies in an input.
@@ -95,7 +88,7 @@ def scan(spark: SparkSession, inputs: list[str], recurse: bool = True, exclude:
             rows = [x for number, root, path in zip(*(c.to_pylist() for c in batch.columns)) for x in _list(number, root, path, skip)]
             for s in range(0, len(rows), 10_000):
                 part = list(zip(*rows[s : s + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(part, (pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us")))], names=columns)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(part, (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us")))], names=columns)
 
     level = spark.createDataFrame(list(_roots(inputs, skip)), LISTED)
     files = level.where("not is_dir")
@@ -110,7 +103,11 @@ def scan(spark: SparkSession, inputs: list[str], recurse: bool = True, exclude:
     keyed = files.withColumns({"parts": parts, "folder": F.slice(parts, 1, F.size(parts) - 1), "name": F.element_at(parts, -1)})
     walked = numbered(keyed, ["input", "folder", "name"], "walk")
     placed = numbered(walked.drop("folder", "name"), ["input", "parts", "walk"], "ordinal")
-    return keep(placed.select((F.col("walk") + 1).alias("file_id"), "ordinal", F.col("path").alias("source"), "archive_path", "size_bytes", "mtime"), "manifest")
+    return keep(placed.select((F.col("walk") + 1).alias("file_id"), "ordinal", F.col("path").alias("source"), _archive_path().alias("archive_path"), "size_bytes", "mtime"), "manifest")
+
+
+def _archive_path() -> Column:
+    return F.when(F.col("path") == F.col("root"), F.element_at(F.split("path", "/"), -1)).otherwise(path_below(F.col("path"), F.col("root")))
 
 
 def read_range(path: str, offset: int, size: int) -> bytes:
@@ -184,9 +181,9 @@ class FilesReader(DataSourceReader):
         _, root = partition.value
         todo, top = list(_roots([root], self.skip)), True
         while todo:
-            number, base, path, name, is_dir, size, mtime = todo.pop()
+            number, base, path, is_dir, size, mtime = todo.pop()
             if not is_dir:
-                yield (path, name, size, mtime)
+                yield (base, path, size, mtime)
             elif top or self.recurse:
                 todo += _list(number, base, path, self.skip)
                 top = False
@@ -200,7 +197,7 @@ class PackFiles(DataSource):
         return "packfiles"
 
     def schema(self):
-        return "source string, archive_path string, size_bytes long, mtime timestamp_ntz"
+        return "root string, path string, size_bytes long, mtime timestamp_ntz"
 
     def reader(self, schema) -> DataSourceReader:
         return FilesReader(dict(self.options))
@@ -209,5 +206,3 @@ class PackFiles(DataSource):
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PackFiles)
 
-
-__all__ = ["MANIFEST", "PackFiles", "blocks", "path_in_archive", "plan", "read_ahead", "read_range", "register", "scan"]
