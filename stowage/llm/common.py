@@ -52,22 +52,20 @@ def sized(df: DataFrame, rows_: int, per: int) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows_ / per)))
 
 
-def balanced(df: DataFrame, like: DataFrame | None = None, per: int = 128 << 20) -> DataFrame:
-    """df for work in Python: on all cores where a scan gives fewer partitions, and not in more than cores and size ask for, so
-    that small files are read, and results written, by few tasks. like: what df is about as large as, if Spark knows the
-    size of that better."""
+def balanced(df: DataFrame, per: int = 64 << 20) -> DataFrame:
+    """df for work in Python: a scan on all cores where it gives fewer partitions, and not in many more than cores and size ask
+    for, so that small files are read, and results written, by few tasks. What comes from a shuffle stays as it is."""
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
-    size = int(str((like or df)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    most = min(1 << 30, max(cores, -(-size // per)))
     if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        return df.coalesce(most)
-    parts = plan.toRdd().getNumPartitions()
+        return df
+    size, parts = int(str(plan.optimizedPlan().stats().sizeInBytes())), plan.toRdd().getNumPartitions()
     if parts < cores and size > 1 << 20:
         return df.repartition(cores)
+    most = min(1 << 30, max(2 * cores, -(-size // per)))
     return df.coalesce(most) if parts > most else df
 
 
-def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict], setup: Callable[[], object] | None = None, like: DataFrame | None = None) -> DataFrame:
+def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict], setup: Callable[[], object] | None = None) -> DataFrame:
     """Adds columns to every row. fn(batch) or fn(batch, setup()) gives the added columns; they replace columns of the same name."""
     new, same = T._parse_datatype_string(added), folded(df)
     names = {same(f.name) for f in new}
@@ -85,7 +83,7 @@ def map_batches(df: DataFrame, added: str, fn: Callable[[pa.RecordBatch], dict],
                 made = fn(batch, *state)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), *(pa.array(made[f.name], type=f.type) for f in target)], names=names_in)
 
-    return balanced(df, like).toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
+    return balanced(df).toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
