@@ -45,7 +45,7 @@ ORDER = 3
 PRIOR, POWER = 1.0, 0.9
 BLOCK_BYTES = 6 << 20
 #: Words of all blocks, or distinct n-grams of all blocks at most, that a shard is meant to get.
-SHARD_WORDS, SHARD_GRAMS = 400_000, 2_000_000
+SHARD_WORDS, SHARD_GRAMS = 400_000, 1_000_000
 #: N-grams looked up at once, few enough for the CPU's cache.
 LOOKUPS = 1 << 15
 #: Word lists are ordered by this many hash buckets first; a power of two of shards divides them.
