@@ -43,16 +43,23 @@ def saved_percent(uncompressed: Column, compressed: Column) -> Column:
 
 
 def before(df: DataFrame, value: Column | str, order: str, into: str, bucket: int = 1 << 17) -> DataFrame:
-    """Adds the sum of `value` over the rows with a smaller `order` (a long, distinct).
+    """Adds the sum of `value` over the rows with a smaller `order` (a long, distinct)."""
+    return all_before(df, {into: value}, order, bucket)
+
+
+def all_before(df: DataFrame, values: dict[str, Column | str], order: str, bucket: int = 1 << 17) -> DataFrame:
+    """Adds for each name the sum of its value over the rows with a smaller `order` (a long, distinct).
 
     Rows are summed by ranges of `order` first; only the ranges' sums go through one window, so no task sees all rows.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    rows = df.withColumn("_value", value.cast("long")).withColumn("_range", F.floor(F.col(order) / F.lit(bucket)))
-    sums = rows.groupBy("_range").agg(F.sum("_value").alias("_sum"))
-    starts = sums.select("_range", (F.sum("_sum").over(W.orderBy("_range")) - F.col("_sum")).alias("_start"))
-    own = F.sum("_value").over(W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col("_value")
-    return rows.withColumn("_own", own).join(starts, "_range").withColumn(into, F.col("_start") + F.col("_own")).drop("_value", "_range", "_own", "_start")
+    own = {f"_value{k}": (F.col(v) if isinstance(v, str) else v).cast("long") for k, v in enumerate(values.values())}
+    rows = df.withColumns(own).withColumn("_range", F.floor(F.col(order) / F.lit(bucket)))
+    sums = rows.groupBy("_range").agg(*[F.sum(c).alias(c) for c in own])
+    starts = sums.select("_range", *[(F.sum(c).over(W.orderBy("_range")) - F.col(c)).alias(f"_start{c}") for c in own])
+    inside = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumns({f"_own{c}": F.sum(c).over(inside) - F.col(c) for c in own}).join(starts, "_range")
+    placed = placed.withColumns({into: F.col(f"_start{c}") + F.col(f"_own{c}") for into, c in zip(values, own)})
+    return placed.drop("_range", *own, *[f"{x}{c}" for c in own for x in ("_own", "_start")])
 
 
 def numbered(df: DataFrame, keys: list[str], into: str) -> DataFrame:
@@ -74,7 +81,7 @@ def job_stats(files: DataFrame) -> DataFrame:
 
 def progress(files: DataFrame, bucket: int = 1 << 17) -> DataFrame:
     """files(ordinal, size_bytes, compressed) with what is done after each: files, bytes, output bytes and percent."""
-    done = before(before(before(files, "size_bytes", "ordinal", "_bytes", bucket), F.lit(1), "ordinal", "_files", bucket), "compressed", "ordinal", "_output", bucket)
+    done = all_before(files, {"_bytes": "size_bytes", "_files": F.lit(1), "_output": "compressed"}, "ordinal", bucket)
     rows = done.withColumn("total_files", files.agg(F.count("*")).scalar()).withColumn("total_bytes", files.agg(F.sum("size_bytes")).scalar())
     bytes_ = F.col("_bytes") + F.col("size_bytes")
     percent = F.when(F.col("total_bytes") > 0, 100 * bytes_ / F.col("total_bytes")).otherwise(F.lit(0.0))

@@ -319,7 +319,8 @@ def cd_layout(spark, d):
     + ")"
 )
 def archive_zip64(spark, d):
-    each = [layout.directory(layout.offsets(_entries(spark, d), b), b, n).select(F.lit(b).cast("long").alias("limit_bytes"), F.lit(n).cast("long").alias("limit_entries"), "zip64") for b, n in ((0xFFFFFFFF, 0xFFFF), (0xFFFFFFFF, ENTRY_LIMIT), (LIMIT, 0xFFFF))]
+    entries = _entries(spark, d)
+    each = [layout.directory(layout.offsets(entries, b), b, n).select(F.lit(b).cast("long").alias("limit_bytes"), F.lit(n).cast("long").alias("limit_entries"), "zip64") for b, n in ((0xFFFFFFFF, 0xFFFF), (0xFFFFFFFF, ENTRY_LIMIT), (LIMIT, 0xFFFF))]
     return each[0].union(each[1]).union(each[2])
 
 
