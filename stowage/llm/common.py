@@ -52,7 +52,7 @@ def sized(df: DataFrame, rows_: int, per: int) -> DataFrame:
     return df.coalesce(max(1, math.ceil(rows_ / per)))
 
 
-def balanced(df: DataFrame, per: int = 64 << 20) -> DataFrame:
+def balanced(df: DataFrame, per: int = 32 << 20) -> DataFrame:
     """df for work in Python: a scan on all cores where it gives fewer partitions, and not in many more than cores and size ask
     for, so that small files are read, and results written, by few tasks. What comes from a shuffle stays as it is."""
     plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
