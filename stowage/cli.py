@@ -10,7 +10,8 @@ from .model import Algorithm, EngineOptions, Format, JobOptions, JobRequest, Lev
 USAGE = """usage:
   stowage pack INPUT... --output FILE [--format zip|gzip|zstd] [--gpu | --no-gpu] [--gpu-threshold N[K|M|G]] [--block-bytes N[K|M|G]]
                [--threads N] [--io-threads N] [--level fast|balanced|best] [--overwrite] [--no-recurse] [--quiet]
-  stowage info"""
+  stowage info
+--threads: tasks at a time; --io-threads: blocks that a task reads at a time; --quiet: no progress and no report"""
 UNIT = {"": 1, "K": 1 << 10, "M": 1 << 20, "G": 1 << 30}
 
 
