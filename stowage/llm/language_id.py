@@ -30,7 +30,7 @@ PER_LANGUAGE = 5_000
 #: Bound of the model: so many languages, those with the most rows, are learned.
 LANGUAGES = 1_000
 #: Characters handled at once, to bound memory; a longer text stands alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 #: The stage's least evidence (see floors) and the allowance for texts of few n-grams.
 SPREADS, LEAST_SPREAD, SHORT = 16, 0.15, 6.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)

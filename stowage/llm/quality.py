@@ -27,7 +27,7 @@ HIDDEN = 24
 PER_CLASS = 4_000
 #: Tasks that the sample is spread over.
 PARTS = 8
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 _SPACE = np.zeros(256, bool)
