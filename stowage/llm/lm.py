@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Kept, balanced, expand, frame, gathered, is_train, rows, slices, squeeze, table, unframe
+from .common import Kept, balanced, expand, frame, gathered, is_train, rows, sized, slices, squeeze, table, unframe
 from .elias_fano import NONE, STEP, Trie, decode
 
 HELD = (10, 0)
@@ -324,7 +324,7 @@ def score(df: DataFrame, train, id: str = "doc_id", text: str = "text", order: i
     tokens, n_train, entries = (x or 0 for x in blocks.agg(F.sum("n"), F.sum("n_train"), F.sum("n_words")).first())
     word_shards = 1 << min(BUCKET_BITS, max(0, math.ceil(math.log2(max(1, entries / SHARD_WORDS)))))
     dealt = blocks.select("block", "words").mapInArrow(_deal_words(word_shards), ROW)
-    words = Kept(dealt.groupBy("shard").applyInArrow(_add_words, ROW), "lm-words").df
+    words = Kept(sized(dealt.groupBy("shard").applyInArrow(_add_words, ROW), entries, 1 << 22), "lm-words").df
     sums = {r["shard"]: (r["n"], *np.frombuffer(r["payload"], "<i8").tolist()) for r in words.where("kind = 2").collect()}  # a row a shard
     per = np.array([sums.get(k, (0, 0, 0))[0] for k in range(word_shards)], np.int64)
     corpus = Corpus(order, n_train, tokens, per, sum(x[1] for x in sums.values()) + (n_train > 0), sum(x[2] for x in sums.values()) + n_train)
