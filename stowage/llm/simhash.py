@@ -399,10 +399,10 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     sketched = map_batches(source, "mark long, bands array<long>", _sketches(3, ["mark", "bands"]))
     marked = Kept(sketched.drop("text"), "near-marks").df
     n = marked.count()
-    sets = Kept(sized(marked.groupBy("mark").agg(F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), n, 1 << 17), "near-sets").df  # of equal sets one
+    sets = Kept(sized(marked.groupBy("mark").agg(F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), n, 1 << 16), "near-sets").df  # of equal sets one
     lists = sets.select("mark", F.explode("bands").alias("key"))
     several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    lists = Kept(sized(lists.join(several, "key"), n, 1 << 17), "near-lists").df
+    lists = Kept(sized(lists.join(several, "key"), n, 1 << 15), "near-lists").df
     asked = sets.join(lists.select("mark").distinct(), "mark", "left_semi").select("mark", "row.one", "row.two")
     hashed = source.select("one", "two", "text").join(asked, ["one", "two"]).select("mark", "text").mapInArrow(_sets, "mark long, set binary")
     verify = Kept(sized(hashed.groupBy("mark").agg(F.first("set").alias("set")), n, 1 << 16), "near-shingles").df  # a row that repeats comes once
