@@ -1,8 +1,10 @@
 """Blocked search of a stated query set against all rows: what the two vector searches share.
 
-Vectors go into blocks of about BLOCK rows, one packed row a block, dealt evenly whatever their ids. Each block's
-queries meet every block as one task's row; a tile hands back at most k candidates a query, and lists are merged with
-heaps in two steps, so no task gathers more than its block's queries times k for a bounded number of lists.
+Vectors go into blocks of about BLOCK rows, one packed row a block, dealt evenly whatever their ids. The stated queries
+of ASKED blocks and a chunk of at most CHUNK blocks meet in one cell, a group of one task: queries travel once a chunk and
+blocks once a group of queries. A cell is a co-group and no join, so that no plan sends queries or vectors through the
+driver. A tile hands back at most k candidates a query; a cell merges its tiles' lists with heaps, and lists of cells are
+merged in further steps, so no task gathers more than a block's queries times k for a bounded number of lists.
 A tile's two sides are known by block and place, so a query's own row is excluded even where ids repeat. Vectors only
 meet vectors of the same length. Rows with a null id take no part.
 """
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import Kept, frame, rows, table, unframe
 
 BLOCK = 8_192
+#: Blocks whose queries are in one cell, and those of them whose queries are in one tile.
+ASKED, TILE = 128, 16
+#: Candidate blocks of a cell at most; smaller tables have about CELLS chunks, so that all cores work.
+CHUNK, CELLS = 16, 24
 #: Lists that one merge takes at most.
 FAN = 64
 
@@ -106,6 +112,8 @@ def search(df: DataFrame, id: str, vector: str, k: int, modulus: int, zero: bool
     source = df.select(F.col(id).cast("long").alias("id"), F.col(vector).cast("array<double>" if kind == "<f8" else "array<float>").alias("v")).where("id is not null and v is not null")
     count = max(2, math.ceil(source.count() / BLOCK))
     blocks = Kept(source.repartition(count).mapInArrow(_blocks(zero, kind), "block long, dim int, payload binary"), "vectors").df
+    asked_blocks, tile_blocks, chunk = ASKED, TILE, min(CHUNK, math.ceil(count / CELLS))
+    groups, chunks = math.ceil(count / asked_blocks), math.ceil(count / chunk)
 
     def queries(batches):
         for batch in batches:
@@ -116,36 +124,48 @@ def search(df: DataFrame, id: str, vector: str, k: int, modulus: int, zero: bool
                     own = np.frombuffer(x, kind).reshape(-1, dim)[at]
                     yield rows("q long, dim int, queries binary", {"q": [block], "dim": [dim], "queries": [frame([at.astype("<i8").tobytes(), np.frombuffer(ids, "<i8")[at].tobytes(), own.tobytes()])]})
 
-    asked = Kept(blocks.mapInArrow(queries, "q long, dim int, queries binary"), "vector-queries").df
-    # the stated queries, in blocks, meet every block once
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    tiles = pairs.join(blocks, ["block", "dim"])
-
-    def tiled(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, dim, q_block, asked_, payload = (batch.column(n)[i].as_py() for n in ("block", "dim", "q", "queries", "payload"))
-                at, _, q = unframe(asked_)
-                at, q = np.frombuffer(at, "<i8"), np.frombuffer(q, kind).reshape(-1, dim).astype(np.float64)
-                ids, x = unpack(payload, dim, kind)
-                own = at if block == q_block else np.full(len(at), -1)
+    places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    asked = blocks.mapInArrow(queries, "q long, dim int, queries binary").withColumn("g", F.floor(F.col("q") / asked_blocks)).withColumn("c", places(chunks))
+    given = blocks.withColumn("c", F.floor(F.col("block") / chunk)).withColumn("g", places(groups))
+    listing = "q long, dim int, c long, ids binary, payload binary"
+
+    def cell(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        dim, c, out = key[0].as_py(), key[2].as_py(), []
+        for s in range(0, left.num_rows if right.num_rows else 0, tile_blocks):
+            part = left.slice(s, tile_blocks)
+            of = part.column("q").to_pylist()
+            at, ids, q = zip(*(unframe(x.as_py()) for x in part.column("queries")))
+            at, q = [np.frombuffer(x, "<i8") for x in at], np.concatenate([np.frombuffer(x, kind) for x in q]).reshape(-1, dim).astype(np.float64)
+            ends = np.cumsum([len(x) for x in at])
+            lists: list[list[bytes]] = [[] for _ in of]
+            for block, payload in zip(right.column("block").to_pylist(), right.column("payload")):
+                named, x = unpack(payload.as_py(), dim, kind)
+                own = np.concatenate([y if n == block else np.full(len(y), -1) for n, y in zip(of, at)])
                 a, b, score = tile(q, x, own, k)
-                yield rows("q long, dim int, c long, payload binary", {"q": [q_block], "dim": [dim], "c": [block // FAN], "payload": [best_pairs(a, b, score, ids, block, len(q), k)]})
+                order = np.argsort(a, kind="stable")
+                a, b, score = a[order], b[order], score[order]
+                for i, (n, e) in enumerate(zip((len(y) for y in at), ends.tolist())):
+                    lo, hi = np.searchsorted(a, [e - n, e])
+                    lists[i].append(best_pairs(a[lo:hi] - (e - n), b[lo:hi], score[lo:hi], named, block, n, k))
+            out += [(n, x, y[0] if len(y) == 1 else merge(y, k)) for n, x, y in zip(of, ids, lists)]
+        return table(listing, {"q": [x[0] for x in out], "dim": [dim] * len(out), "c": [c // FAN] * len(out), "ids": [x[1] for x in out], "payload": [x[2] for x in out]})
 
     def merged(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        return table("q long, dim int, c long, payload binary", {"q": [key[0].as_py()], "dim": [key[1].as_py()], "c": [key[2].as_py() // FAN], "payload": [merge(group.column("payload").to_pylist(), k)]})
+        return table(listing, {"q": [key[0].as_py()], "dim": [key[1].as_py()], "c": [key[2].as_py() // FAN], "ids": [group.column("ids")[0].as_py()], "payload": [merge(group.column("payload").to_pylist(), k)]})
 
-    lists = tiles.select("block", "dim", "q", "queries", "payload").mapInArrow(tiled, "q long, dim int, c long, payload binary")
-    for _ in range(max(1, math.ceil(math.log(count, FAN)))):
-        lists = lists.groupBy("q", "dim", "c").applyInArrow(merged, "q long, dim int, c long, payload binary")
+    # a cell is long work, so cells are dealt to several times as many partitions: few meet in one task
+    asked, given = (x.repartition(min(1 << 12, 4 * groups * chunks), "dim", "g", "c") for x in (asked, given))
+    lists = asked.groupBy("dim", "g", "c").cogroup(given.groupBy("dim", "g", "c")).applyInArrow(cell, listing)
+    for _ in range(max(1, math.ceil(math.log(chunks, FAN)))):
+        lists = lists.groupBy("q", "dim", "c").applyInArrow(merged, listing)
 
     def final(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                _, ids, _ = unframe(batch.column("queries")[i].as_py())
-                n, found, score, _, kind_ = unframe(batch.column("payload")[i].as_py())
+                ids = batch.column(0)[i].as_py()
+                n, found, score, _, kind_ = unframe(batch.column(1)[i].as_py())
                 n = np.frombuffer(n, "<i4")
                 first = np.cumsum(n) - n
                 yield rows(f"query_id long, rank int, vec_id long, score {score_type}", {"query_id": np.repeat(np.frombuffer(ids, "<i8"), n), "rank": (np.arange(n.sum()) - np.repeat(first, n) + 1).astype(np.int32), "vec_id": np.frombuffer(found, "<i8"), "score": np.frombuffer(score, kind_.decode())})
 
-    return lists.join(asked, ["q", "dim"]).select("queries", "payload").mapInArrow(final, f"query_id long, rank int, vec_id long, score {score_type}")
+    return lists.select("ids", "payload").mapInArrow(final, f"query_id long, rank int, vec_id long, score {score_type}")

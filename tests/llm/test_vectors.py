@@ -95,3 +95,17 @@ def test_levels_take_pairs_out():
 def test_large_values_are_exact():
     q, x = np.full((1, 4), 2.0**40), np.array([[2.0**21, 1, 1, 1], [0, 0, 0, 3]])
     assert topk.exact(np.repeat(q, 2, 0), x).tolist() == [2**61 + 3 * 2**40, 3 * 2**40]
+
+
+@pytest.mark.parametrize("operator, ints", [(topk.top, True), (neighbours.nearest, False)])
+def test_no_vectors_pass_through_the_driver(spark, monkeypatch, operator, ints):
+    """Many small blocks: queries repeat for every chunk of them, so a broadcast would grow with the square of the table."""
+    monkeypatch.setattr(vectors, "BLOCK", 8)
+    monkeypatch.setattr(vectors, "ASKED", 10, raising=False)
+    monkeypatch.setattr(vectors, "TILE", 3, raising=False)
+    df = table(spark)
+    result = operator(df)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(result))
+    assert got == brute(rows_of(df), ints)
+    plan = result._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
