@@ -10,8 +10,10 @@ fitted to a bounded sample, the links are exact whatever it is.
 A long list is cut into chunks and each pair of chunks is a task of its own; a task hands on a spanning star of the
 links it found, so a dense group costs as many rows as it has members.
 
-The pipeline's stage asks for a Jaccard similarity of NEAR over runs of NEAR_WORDS words, at which fingerprints differ by
-8 to 10 bits, too many for the pigeonhole. It finds pairs by bands of MinHash and verifies each by its exact similarity.
+The pipeline's stage asks for a Jaccard similarity of NEAR over runs of NEAR_WORDS words. Its fingerprints over such runs link
+at NEAR_BITS or fewer differing bits by the same pigeonhole and components, and each component is a list of candidates. Many
+pairs at NEAR differ by 8 to 10 bits, too many for the pigeonhole: bands of MinHash are further lists. The links are those
+pairs of a list, of either kind, whose exact similarity is NEAR or more.
 
 Defined cases: null or empty texts have fingerprint zero, which links like any other. Rows with a null id keep a row of
 their own; their component is the smallest id that is not null, or null if there is none. Rows that repeat are rows of
@@ -39,6 +41,8 @@ WORDS = 4
 SEED = 42
 #: The pipeline's stage: near copies share this much of their runs of NEAR_WORDS words.
 NEAR, NEAR_WORDS = 0.8, 5
+#: Bits at which the stage's fingerprints link. The lists of the pigeonhole are 66 rows a text at most up to here, 276 with one bit more.
+NEAR_BITS = 5
 #: MinHash bands and minima in each. A pair at NEAR shares no band with probability (1 - NEAR ** DEPTH) ** BANDS, 3e-6.
 BANDS, DEPTH = 32, 5
 #: Bits kept of a shingle's hash where sets are compared.
@@ -70,7 +74,11 @@ def shingles(text: str, width: int = WORDS, seed: int = SEED) -> np.ndarray:
 
 
 def fingerprint(text: str, width: int = WORDS, seed: int = SEED) -> int:
-    h = shingles(text, width, seed)
+    return majority(shingles(text, width, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -300,15 +308,17 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(at: int, names: list[str]):
-    """Of every text the hash of its set of shingles, and the keys of its bands."""
+    """Of every text the hash of its set of shingles, its fingerprint, and the keys of its bands."""
 
     def run(batch):
-        marks, keys = [], []
+        marks, fps, keys = [], [], []
         for text in texts_of(batch.column(at)):
-            found = np.unique(shingles(text, NEAR_WORDS))
+            every = shingles(text, NEAR_WORDS)
+            found = np.unique(every)
             marks.append(int(np.array(xxhash.xxh64_intdigest(found.tobytes(), SEED), np.uint64).view(np.int64)))
+            fps.append(int(np.array(majority(every), np.uint64).view(np.int64)))
             keys.append(bands(found) if len(found) else [])
-        return dict(zip(names, (marks, keys)))
+        return dict(zip(names, (marks, fps, keys)))
 
     return run
 
@@ -350,9 +360,16 @@ def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     return table("a long, b long", {"a": a, "b": b})
 
 
+def near_classes(sets: DataFrame, n: int, tau: int = NEAR_BITS) -> DataFrame:
+    """sets(mark, fp) to (mark, key): sets of one key have fingerprints that are linked at tau or fewer bits, directly or over others."""
+    fps = Kept(sized(sets.select("fp").distinct(), n, 1 << 16), "near-prints").df
+    tree = stars(links(fps, tau)).df.toDF("fp", "root")
+    return sets.join(tree, "fp", "left").select("mark", F.xxhash64(F.coalesce("root", "fp"), F.lit("class")).alias("key"))
+
+
 def near_links(lists: DataFrame, sets: DataFrame, centres: int = CENTRES, chunk: int = CHUNK) -> DataFrame:
-    """lists(key, mark): members of bands that more than one has; sets(mark, set). Gives (a, b): links whose components are
-    those of all verified pairs that share a band.
+    """lists(key, mark): members of classes and bands that more than one has; sets(mark, set). Gives (a, b): links whose components are
+    those of all verified pairs that share a list.
 
     First a list's members are held against a few of them: a fixed number of pairs a member. What is of several components
     after that is compared within one task a list, a long list in pairs of its chunks; such a task gives links, not pairs.
@@ -396,11 +413,12 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     one, two, mark, keys = names
     own = docs.withColumns({one: row_hash(docs, 1), two: row_hash(docs, 2)})  # 128 bits name a row
     source = own.select(one, two, F.col(id).alias("id"), F.col(text).alias("text")).toDF("one", "two", "id", "text")
-    sketched = map_batches(source, "mark long, bands array<long>", _sketches(3, ["mark", "bands"]))
+    sketched = map_batches(source, "mark long, fp long, bands array<long>", _sketches(3, ["mark", "fp", "bands"]))
     marked = Kept(sketched.drop("text"), "near-marks").df
     n = marked.count()
-    sets = Kept(sized(marked.groupBy("mark").agg(F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), n, 1 << 16), "near-sets").df  # of equal sets one
-    lists = sets.select("mark", F.explode("bands").alias("key"))
+    sets = Kept(sized(marked.groupBy("mark").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("one", "two")).alias("row")), n, 1 << 16), "near-sets").df  # of equal sets one
+    classes = near_classes(sets.where(F.size("bands") > 0), n)
+    lists = sets.select("mark", F.explode("bands").alias("key")).union(classes)
     several = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     lists = Kept(sized(lists.join(several, "key"), n, 1 << 15), "near-lists").df
     asked = sets.join(lists.select("mark").distinct(), "mark", "left_semi").select("mark", "row.one", "row.two")

@@ -92,3 +92,28 @@ def test_rows_that_differ_in_where_a_null_is_are_two(spark):
     got = rows_of(simhash.near_copies(docs))
     assert sorted(r["doc_id"] for r in got) == [1, 2]
     assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_find_copies_without_bands(spark, monkeypatch):
+    """Lightly edited long texts are linked by fingerprints and the pigeonhole, also where no two texts share a band."""
+    monkeypatch.setattr(simhash, "bands", lambda found: found[:1].view("i8") ^ len(found) ^ int(found.sum() % (1 << 62)))
+    draw, docs = random.Random(4), []
+    for g in range(12):
+        words = [f"w{draw.randrange(5000)}" for _ in range(2000)]
+        docs.append((10 * g, " ".join(words), "en"))
+        for j in (1, 2):
+            words = [*words[: 400 * j], f"edit{g}", *words[400 * j + 1 :]]
+            docs.append((10 * g + j, " ".join(words), "en"))
+    got = sorted(r["doc_id"] for r in rows_of(simhash.near_copies(spark.createDataFrame(docs, SCHEMA))))
+    assert got == [10 * g for g in range(12)]
+
+
+def test_linked_fingerprints_of_less_alike_texts_stay(spark):
+    """What shares a class is held to the exact similarity: the same runs in other numbers give one fingerprint, not one set."""
+    sets = spark.createDataFrame([(1, 0), (2, 31), (3, 63), (4, -1)], "mark long, fp long")
+    key = {r["mark"]: r["key"] for r in rows_of(simhash.near_classes(sets, 4))}
+    assert key[1] == key[2] == key[3] != key[4]
+    made = lambda *x: simhash.squeeze(np.diff(np.array(x, "u8"), prepend=np.uint64(0)))
+    shingled = spark.createDataFrame([(1, made(*range(1, 11))), (2, made(*range(1, 10))), (3, made(*range(8, 30)))], "mark long, set binary")
+    lists = simhash.near_classes(sets.where("mark < 4"), 3).select("key", "mark")
+    assert [(r["a"], r["b"]) for r in rows_of(simhash.near_links(lists, shingled))] in ([(1, 2)], [(2, 1)])
