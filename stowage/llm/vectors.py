@@ -3,14 +3,17 @@
 Vectors go into blocks of about BLOCK rows, one packed row a block, dealt evenly whatever their ids. The stated queries
 of ASKED blocks and a chunk of at most CHUNK blocks meet in one cell, a group of one task: queries travel once a chunk and
 blocks once a group of queries. A cell is a co-group and no join, so that no plan sends queries or vectors through the
-driver. A tile hands back at most k candidates a query; a cell merges its tiles' lists with heaps, and lists of cells are
-merged in further steps, so no task gathers more than a block's queries times k for a bounded number of lists.
+driver. Each group of queries is a round of its own, whose lists are merged and written before the next starts and whose
+shuffles are then given up: the disk holds the vectors twice and one round's lists, however many rounds there are. A tile
+hands back at most k candidates a query; a cell merges its tiles' lists with heaps, and lists of cells are merged in further
+steps, so no task gathers more than a block's queries times k for a bounded number of lists.
 A tile's two sides are known by block and place, so a query's own row is excluded even where ids repeat. Vectors only
 meet vectors of the same length. Rows with a null id take no part.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import math
 from collections.abc import Callable
@@ -125,12 +128,12 @@ def search(df: DataFrame, id: str, vector: str, k: int, modulus: int, zero: bool
                     yield rows("q long, dim int, queries binary", {"q": [block], "dim": [dim], "queries": [frame([at.astype("<i8").tobytes(), np.frombuffer(ids, "<i8")[at].tobytes(), own.tobytes()])]})
 
     places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    asked = blocks.mapInArrow(queries, "q long, dim int, queries binary").withColumn("g", F.floor(F.col("q") / asked_blocks)).withColumn("c", places(chunks))
-    given = blocks.withColumn("c", F.floor(F.col("block") / chunk)).withColumn("g", places(groups))
+    every = Kept(blocks.mapInArrow(queries, "q long, dim int, queries binary"), "queries").df if groups > 1 else blocks.mapInArrow(queries, "q long, dim int, queries binary")
+    given = blocks.withColumn("c", F.floor(F.col("block") / chunk))
     listing = "q long, dim int, c long, ids binary, payload binary"
 
     def cell(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        dim, c, out = key[0].as_py(), key[2].as_py(), []
+        dim, c, out = key[0].as_py(), key[1].as_py(), []
         for s in range(0, left.num_rows if right.num_rows else 0, tile_blocks):
             part = left.slice(s, tile_blocks)
             of = part.column("q").to_pylist()
@@ -153,11 +156,7 @@ def search(df: DataFrame, id: str, vector: str, k: int, modulus: int, zero: bool
     def merged(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         return table(listing, {"q": [key[0].as_py()], "dim": [key[1].as_py()], "c": [key[2].as_py() // FAN], "ids": [group.column("ids")[0].as_py()], "payload": [merge(group.column("payload").to_pylist(), k)]})
 
-    # a cell is long work, so cells are dealt to several times as many partitions: few meet in one task
-    asked, given = (x.repartition(min(1 << 12, 4 * groups * chunks), "dim", "g", "c") for x in (asked, given))
-    lists = asked.groupBy("dim", "g", "c").cogroup(given.groupBy("dim", "g", "c")).applyInArrow(cell, listing)
-    for _ in range(max(1, math.ceil(math.log(chunks, FAN)))):
-        lists = lists.groupBy("q", "dim", "c").applyInArrow(merged, listing)
+    result = f"query_id long, rank int, vec_id long, score {score_type}"
 
     def final(batches):
         for batch in batches:
@@ -166,6 +165,22 @@ def search(df: DataFrame, id: str, vector: str, k: int, modulus: int, zero: bool
                 n, found, score, _, kind_ = unframe(batch.column(1)[i].as_py())
                 n = np.frombuffer(n, "<i4")
                 first = np.cumsum(n) - n
-                yield rows(f"query_id long, rank int, vec_id long, score {score_type}", {"query_id": np.repeat(np.frombuffer(ids, "<i8"), n), "rank": (np.arange(n.sum()) - np.repeat(first, n) + 1).astype(np.int32), "vec_id": np.frombuffer(found, "<i8"), "score": np.frombuffer(score, kind_.decode())})
-
-    return lists.select("ids", "payload").mapInArrow(final, f"query_id long, rank int, vec_id long, score {score_type}")
+                yield rows(result, {"query_id": np.repeat(np.frombuffer(ids, "<i8"), n), "rank": (np.arange(n.sum()) - np.repeat(first, n) + 1).astype(np.int32), "vec_id": np.frombuffer(found, "<i8"), "score": np.frombuffer(score, kind_.decode())})
+
+    def round_of(g: int) -> DataFrame:
+        asked = every.where((F.col("q") >= g * asked_blocks) & (F.col("q") < (g + 1) * asked_blocks)).withColumn("c", places(chunks))
+        # a cell is long work, so cells are dealt to several times as many partitions: few meet in one task
+        left, right = (x.repartition(min(1 << 12, 4 * chunks), "dim", "c") for x in (asked, given))
+        lists = left.groupBy("dim", "c").cogroup(right.groupBy("dim", "c")).applyInArrow(cell, listing)
+        for _ in range(max(1, math.ceil(math.log(chunks, FAN)))):
+            lists = lists.groupBy("q", "dim", "c").applyInArrow(merged, listing)
+        return lists.select("ids", "payload").mapInArrow(final, result)
+
+    if groups == 1:
+        return round_of(0)
+    found = []
+    for g in range(groups):
+        found.append(Kept(round_of(g), "nearest").path)
+        gc.collect()  # so that Spark's cleaner deletes the round's shuffles, which nothing refers to any more
+        df.sparkSession._jvm.System.gc()
+    return df.sparkSession.read.schema(result).parquet(*found)

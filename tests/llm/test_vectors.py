@@ -109,3 +109,21 @@ def test_no_vectors_pass_through_the_driver(spark, monkeypatch, operator, ints):
     assert got == brute(rows_of(df), ints)
     plan = result._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_queries_meet_the_blocks_in_rounds(spark, monkeypatch):
+    """A round a group of queries, each written before the next: shuffles would otherwise hold every block once a group."""
+    made, kept = [], vectors.Kept
+
+    def seen(df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(vectors, "Kept", seen)
+    monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "ASKED", 20)
+    df = table(spark)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows_of(neighbours.nearest(df)))
+    assert got == brute(rows_of(df), False)
+    rounds = [plan for name, plan in made if name == "nearest"]
+    assert len(rounds) > 1 and not any("Broadcast" in plan or "Join" in plan for plan in rounds)
